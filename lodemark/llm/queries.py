@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from lodemark.llm.packing import op5_packing
+from lodemark.llm.sharding import op8_sharding
 from lodemark.llm.simhash import op2_simhash
+from lodemark.llm.warc import OP7_SQL, op7_warc
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_simhash": op2_simhash,
+    "op5_packing": op5_packing,
+    "op7_warc": op7_warc,
+    "op8_sharding": op8_sharding,
+}
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
