@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lodemark.llm.linededup import OP6_SQL, op6_linededup
 from lodemark.llm.packing import op5_packing
 from lodemark.llm.sharding import op8_sharding
 from lodemark.llm.simhash import op2_simhash
@@ -10,7 +11,8 @@ from lodemark.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_packing": op5_packing,
+    "op6_linededup": op6_linededup,
     "op7_warc": op7_warc,
     "op8_sharding": op8_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_linededup": OP6_SQL, "op7_warc": OP7_SQL}
