@@ -20,11 +20,11 @@ from pyspark.sql.window import Window
 
 from lodemark.llm.common import buckets_for, cut, session
 
-BOOKS, WORDS, BEAM = 8, 256, 8
+BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on at most, those with the smallest hash.
 FIT_ROWS = 8192
 #: Entries that are scored exactly for each query.
-RERANK = 200
+RERANK = 256
 #: Queries that are broadcast at once (float32: 1 MB at 64 dimensions), and codes that a task scans.
 QUERY_BLOCK, SCAN_ROWS = 4096, 16_384
 
