@@ -22,9 +22,9 @@ from lodemark.llm.common import buckets_for, cut, session
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on at most, those with the smallest hash.
-FIT_ROWS = 8192
+FIT_ROWS = 32_768
 #: Entries that are scored exactly for each query.
-RERANK = 256
+RERANK = 320
 #: Queries that are broadcast at once (float32: 1 MB at 64 dimensions), and codes that a task scans.
 QUERY_BLOCK, SCAN_ROWS = 4096, 16_384
 
@@ -75,7 +75,7 @@ def _k_means(x: np.ndarray, k: int, draw: np.random.Generator, rounds: int = 8)
     return centre
 
 
-def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 3, seed: int = 42) -> Codebooks:
+def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2, seed: int = 42) -> Codebooks:
     """Codebooks of unit vectors (n, d), n of 1 at least."""
     draw, rest, found = np.random.default_rng(seed), x.astype(np.float32), []
     for _ in range(books):
