@@ -1,7 +1,7 @@
 """Nearest neighbours by cosine through additive quantisation, with exact reranking.
 
 A unit vector is coded as the sum of one full-dimensional codeword from each of several codebooks. Codebooks begin as
-k-means of the residuals left by those before and are then fitted together by least squares; codes are found by beam
+k-means of the residuals left by those before and are then fitted to each other by least squares; codes are found by beam
 search. The index keeps a vector's codes and the stored norm of its approximation, so a query scores every vector by adding
 up looked-up dot products. The best are scored again on the original vectors, in double precision.
 Equal vectors are one entry of the index and keep the few smallest ids that any answer can need, so copies crowd out nothing.
@@ -26,7 +26,7 @@ FIT_ROWS = 32_768
 #: Entries that are scored exactly for each query.
 RERANK = 320
 #: Queries that are broadcast at once (float32: 1 MB at 64 dimensions), and codes that a task scans.
-QUERY_BLOCK, SCAN_ROWS = 4096, 16_384
+QUERY_BLOCK, SCAN_ROWS = 4096, 65_536
 
 
 @dataclass
@@ -36,6 +36,7 @@ class Codebooks:
     def __post_init__(self):
         flat = self.words.reshape(-1, self.words.shape[2])
         self.gram = flat @ flat.T
+        self.own = np.diag(self.gram).copy()
 
     def encode(self, x: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Codes (n, books) of the vectors, the best of a beam search."""
@@ -45,7 +46,7 @@ class Codebooks:
         books, words, _ = self.words.shape
         n = len(x)
         dots = x @ self.words.reshape(books * words, -1).T
-        own = np.diag(self.gram)
+        own = self.own
         codes, error = np.zeros((n, 1, books), np.int64), np.zeros((n, 1), np.float32)
         for m in range(books):
             part = slice(m * words, (m + 1) * words)
@@ -83,18 +84,19 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
         rest = rest - centre[(2 * rest @ centre.T - (centre * centre).sum(axis=1)).argmax(axis=1)]
         found.append(centre)
     out = Codebooks(np.stack(found))
+    x = x.astype(np.float32)
     for _ in range(rounds):
-        codes = out.encode(x.astype(np.float32), 4) + np.arange(books) * words
-        both = np.zeros((books * words, books * words))
-        for a in range(books):
-            for b in range(books):
-                np.add.at(both, (codes[:, a], codes[:, b]), 1)
-        right = np.zeros((books * words, x.shape[1]))
-        for a in range(books):
-            np.add.at(right, codes[:, a], x)
-        # a small weight on the words as they are keeps those that no vector uses
-        flat = out.words.reshape(books * words, -1).astype(float)
-        out = Codebooks(np.linalg.solve(both + 0.1 * np.eye(books * words), right + 0.1 * flat).reshape(out.words.shape).astype(np.float32))
+        codes = out.encode(x, 4)
+        fitted = out.words.copy()
+        rest = x - out.decode(codes)
+        # least squares one codebook at a time: a word is the mean of what the others leave of its vectors
+        for m in [*range(books)] * 3:
+            rest += fitted[m][codes[:, m]]
+            count = np.bincount(codes[:, m], minlength=words)
+            sums = np.stack([np.bincount(codes[:, m], rest[:, d], words) for d in range(x.shape[1])], axis=1)
+            fitted[m] = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], fitted[m])
+            rest -= fitted[m][codes[:, m]]
+        out = Codebooks(fitted)
     return out
 
 
