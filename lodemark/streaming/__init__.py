@@ -1,0 +1 @@
+"""Empty on purpose: the engine has no streaming operator, and its batch operators keep no state."""
