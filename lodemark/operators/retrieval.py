@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lodemark.functions.hashing import hex_to_long
 from lodemark.functions.text import caption_id
 from lodemark.operators.leakage import hamming_join
+from lodemark.operators.ordering import BUCKET_ROWS, prefix_sum
 
 #: Bytes of knowledge-base vectors that one broadcast may hold; more are searched block after block.
 BLOCK_BYTES = 64 << 20
@@ -30,9 +31,10 @@ def l2_normalize(v: Column) -> Column:
 
 def caption_table(kb: DataFrame) -> DataFrame:
     """One row per caption of the knowledge base, numbered in manifest order (kb has ordinal)."""
-    out = kb.select("ordinal", F.col("image_id").alias("source_image_id"), F.col("relative_path").alias("source_relative_path"), F.col("dhash64").alias("source_image_dhash64"), F.col("sha256").alias("source_image_sha256"), F.posexplode("captions").alias("caption_index", "caption"))
+    numbered = prefix_sum(kb, F.floor(F.col("ordinal") / BUCKET_ROWS), [F.col("ordinal")], F.size("captions"), "_first")
+    out = numbered.select("_first", F.col("image_id").alias("source_image_id"), F.col("relative_path").alias("source_relative_path"), F.col("dhash64").alias("source_image_dhash64"), F.col("sha256").alias("source_image_sha256"), F.posexplode("captions").alias("caption_index", "caption"))
     out = out.withColumn("caption_id", caption_id(F.col("source_image_id"), F.col("caption_index")))
-    return out.withColumn("kb_ordinal", (F.row_number().over(Window.orderBy("ordinal", "caption_index")) - 1).cast("long")).drop("ordinal")
+    return out.withColumn("kb_ordinal", F.col("_first") + F.col("caption_index")).drop("_first")
 
 
 def query_table(a: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodemark.functions.hashing import stable_rank
+from lodemark.operators.ordering import BUCKET_ROWS, prefix_sum
 
 
 def smoke_sample(rows: DataFrame, n: int, seed: int = 42, key: str = "image_id") -> DataFrame:
@@ -27,8 +28,6 @@ def stratified_ids(rows: DataFrame, count: int, seed: int = 42, key: str = "quer
     for i, s in enumerate(there):
         quota = min(sizes[s], count // len(there) + (i < count % len(there)))
         places = draw.sample(range(sizes[s]), quota)
-        from pyspark.sql.window import Window
-
-        at = rows.where(F.col("split") == s).withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
+        at = prefix_sum(rows.where(F.col("split") == s), F.floor(F.col(order) / BUCKET_ROWS), [F.col(order)], F.lit(1), "_at")
         chosen += [(s, r[key]) for r in at.where(F.col("_at").isin(places)).select(key).collect()]
     return [k for _, k in sorted(chosen)]
