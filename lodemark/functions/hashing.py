@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def hex_to_long(c: Column) -> Column:
@@ -62,14 +63,18 @@ def dhash64(pixels: np.ndarray, size: int = 8) -> str:
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"
 
 
-@F.pandas_udf("string")
-def dhash_of_image(images: pd.DataFrame) -> pd.Series:
+def dhash_of_image(image: Column) -> Column:
     """Fingerprints of Spark image structs (rows of blue, green, red bytes); '' of what wasn't decoded."""
-    out = []
-    for h, w, n, data in zip(images["height"], images["width"], images["nChannels"], images["data"]):
-        if h is None or h <= 0 or w <= 0:
-            out.append("")
-            continue
-        x = np.frombuffer(data, np.uint8).reshape(h, w, n)
-        out.append(dhash64(np.repeat(x, 3, axis=2) if n == 1 else x[:, :, 2::-1]))
-    return pd.Series(out, dtype=object)
+
+    @F.pandas_udf(T.StringType())
+    def hashed(images: pd.DataFrame) -> pd.Series:
+        out = []
+        for h, w, n, data in zip(images["height"], images["width"], images["nChannels"], images["data"]):
+            if h is None or h <= 0 or w <= 0:
+                out.append("")
+                continue
+            x = np.frombuffer(data, np.uint8).reshape(h, w, n)
+            out.append(dhash64(np.repeat(x, 3, axis=2) if n == 1 else x[:, :, 2::-1]))
+        return pd.Series(out, dtype=object)
+
+    return hashed(image)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as str.split() and str.strip() see it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
@@ -24,10 +25,14 @@ def words(c: Column) -> Column:
     return F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
 
 
-@F.pandas_udf("string")
-def nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(c: Column) -> Column:
     """Compatibility composition, for which Spark has no function."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    @F.pandas_udf(T.StringType())
+    def composed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+    return composed(c)
 
 
 def normalize_caption(c: Column, compose: bool = False) -> Column:

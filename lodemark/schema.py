@@ -8,10 +8,17 @@ from pyspark.sql import types as T
 
 VERSION = "1.0.0"
 # Field names and types of the manifest, in their order.
-MANIFEST = T.StructType.fromDDL(
-    "schema_version string, source string, role string, image_id string, image_path string, relative_path string, split string, captions array<string>, num_captions int, "
-    "class_name string, width int, height int, file_size_bytes bigint, sha256 string, dhash64 string, ok boolean, error string"
-)
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType(), "array": T.ArrayType(T.StringType())}
+MANIFEST = T.StructType(
+    [
+        T.StructField(name, _KINDS[kind])
+        for name, kind in (
+            *((n, "string") for n in ("schema_version", "source", "role", "image_id", "image_path", "relative_path", "split")),
+            ("captions", "array"), ("num_captions", "int"), ("class_name", "string"), ("width", "int"), ("height", "int"), ("file_size_bytes", "long"),
+            ("sha256", "string"), ("dhash64", "string"), ("ok", "boolean"), ("error", "string"),
+        )
+    ]
+)
 
 
 def to_manifest(rows: DataFrame) -> DataFrame:
