@@ -26,7 +26,8 @@ CAPACITY = 1024
 WASTE = 8
 #: Columns generated at most; later ones save less than the cutting of the rest does.
 COLUMNS = 700
-BUCKET_ROWS = 50_000
+#: Rows of a length that one task ranks; a common length has as many buckets as that takes.
+BUCKET_ROWS = 1000
 # The pre-tokenisation pattern of the public byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -173,13 +174,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int =
     demand = {r["rest"]: r["n"] for r in tokens.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     intervals, first_cut, first_full = layout(demand, capacity, waste, columns)
     path = scratch(spark, "intervals")
-    write_text(spark, f"{path}/intervals.json", "\n".join(json.dumps({"rest": k, "parts": [dict(zip(("low", "high", "often", "sequence", "offset"), x)) for x in v]}) for k, v in intervals.items()))
+    write_text(spark, f"{path}/intervals.json", "\n".join(json.dumps({"rest": k, "parts": [dict(zip(("low", "high", "often", "sequence", "offset"), x)) for x in v], "buckets": buckets_for(demand[k], BUCKET_ROWS)}) for k, v in intervals.items()))
     # one row for each length below the capacity, with no more intervals in all than patterns have lengths: broadcast whatever the input
-    parts = F.broadcast(spark.read.schema("rest int, parts array<struct<low: long, high: long, often: long, sequence: long, offset: long>>").json(path))
-    many = buckets_for(sum(demand.values()), BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64("uid"), F.lit(many)).cast("int")
-    ranked = with_prefix(tokens.where("rest > 0").select("uid", "doc_id", "doc_tokens", "rest", "rest_crc"), ["rest"], [F.col("uid")], bucket, F.lit(1), "r")
-    placed = ranked.join(parts, "rest").withColumn("i", F.element_at(F.filter("parts", lambda x: (x["low"] <= F.col("r")) & (F.col("r") < x["high"])), 1)).drop("parts")
+    table = spark.read.schema("rest int, parts array<struct<low: long, high: long, often: long, sequence: long, offset: long>>, buckets int").json(path)
+    bucket = F.pmod(F.xxhash64("uid"), F.col("buckets")).cast("int")
+    rests = tokens.where("rest > 0").select("uid", "doc_id", "doc_tokens", "rest", "rest_crc").join(F.broadcast(table.select("rest", "buckets")), "rest")
+    ranked = with_prefix(rests, ["rest"], [F.col("uid")], bucket, F.lit(1), "r").drop("buckets")
+    placed = ranked.join(F.broadcast(table.select("rest", "parts")), "rest").withColumn("i", F.element_at(F.filter("parts", lambda x: (x["low"] <= F.col("r")) & (F.col("r") < x["high"])), 1)).drop("parts")
     start = (F.col("doc_tokens") - F.col("rest")).alias("start")
     nth = F.col("r") - F.col("i.low")
     piece = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -197,7 +198,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int =
             )
         ).alias("e"),
     ).select("doc_id", "e.start", "e.length", "e.ids_crc32", "doc_tokens", "e.sequence_id", "e.offset")
-    long = with_prefix(tokens.where("size(full) > 0").select("uid", "doc_id", "doc_tokens", "full"), [], [F.col("uid")], bucket, F.size("full"), "g")
+    long = with_prefix(tokens.where("size(full) > 0").select("uid", "doc_id", "doc_tokens", "full"), [], [F.col("uid")], F.pmod(F.xxhash64("uid"), F.lit(buckets_for(sum(demand.values()), 50 * BUCKET_ROWS))).cast("int"), F.size("full"), "g")
     cut_off = long.select("doc_id", "doc_tokens", "g", F.posexplode("full").alias("k", "ids_crc32")).select("doc_id", (F.col("k") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(first_full) + F.col("g") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = [in_pattern, whole, halves, cut_off]
     out = pieces[0].select(*piece)
