@@ -144,11 +144,13 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> Model:
     """A model of the labelled documents that aren't held out; at most so many texts of each class come to the driver."""
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", "text").where(~held_out() & F.col("text").isNotNull()).join(known, "doc_id")
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = []
     for wanted, most in (("toxic > 0", toxic_rows), ("toxic <= 0", ordinary_rows)):
-        texts.append([r["text"] for r in rows.where(wanted).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(most).collect()])
+        # ids are drawn without their texts; at most `most` of them are broadcast to fetch those
+        ids = known.where(wanted).select("doc_id").orderBy(F.xxhash64("doc_id")).limit(most)
+        found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+        texts.append([r["text"] for r in found.groupBy("doc_id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id")).select("text").collect()])
     return train(*texts)
 
 
