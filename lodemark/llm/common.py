@@ -83,6 +83,13 @@ def drop_cut(df: DataFrame) -> None:
         remove(session(df), path)
 
 
+def hashed_sample(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
+    """About `most` of the n rows (all, if fewer): those whose hash column h is below a bound that n fixes."""
+    if n <= most:
+        return rows
+    return rows.where(F.col(h) < F.lit(int(-(1 << 63) + (1 << 64) * (most / n)))).limit(2 * most)
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-rows // per_bucket))
 

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemark.llm.common import buckets_for, cut, session
+from lodemark.llm.common import buckets_for, cut, hashed_sample, session
 
 BOOKS, WORDS, BEAM = 16, 256, 4
-#: Vectors that the codebooks are fitted on at most, those with the smallest hash.
+#: About so many vectors fit the codebooks: those with the smallest hashes.
 FIT_ROWS = 32_768
 #: Entries that are scored exactly for each query.
 RERANK = 320
@@ -187,7 +187,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERAN
     blocks = buckets_for(asked.count(), QUERY_BLOCK)
     if not n:
         return spark.createDataFrame([], schema)
-    sample = entries.orderBy(F.xxhash64("embedding"), "c").select("embedding").limit(fit_rows).toPandas()
+    sample = hashed_sample(entries.select("c", "embedding", F.xxhash64("embedding").alias("h")), "h", n, fit_rows).toPandas().sort_values(["h", "c"])
     books = spark.sparkContext.broadcast(train(_unit(sample["embedding"])))
     parts = buckets_for(n, SCAN_ROWS)
     index = cut(entries.select("c", "embedding").mapInPandas(_encoder(books), "c long, codes binary, norm float").repartition(parts, "c"), "index")
