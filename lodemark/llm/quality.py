@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import cut
+from lodemark.llm.common import cut, hashed_sample
 
 BINS = 4096
-#: Rows that the linear scorer is fitted on at most, those with the smallest hash of id and text.
+#: About so many rows fit the linear scorer: those with the smallest hashes of id and text.
 FIT_ROWS = 20_000
 GOOD, BAD = 1, 2
 SYMBOLS = re.compile(r"[%$&*#|<>{}\[\]@^~\\=+_]")
@@ -161,7 +161,7 @@ def train(marks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict[
     """
     counts = {r["pattern"]: r["n"] for r in marks.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     _, tables, posterior = expectation_maximisation(counts)
-    sample = marks.select("h", "pattern", "bins", "shares").orderBy("h", "pattern").limit(fit_rows).collect()
+    sample = sorted(hashed_sample(marks.select("h", "pattern", "bins", "shares"), "h", sum(counts.values()), fit_rows).collect(), key=lambda r: (r["h"], r["pattern"]))
     return fit_scorer([(r["bins"], r["shares"], posterior[r["pattern"]]) for r in sample if r["bins"]]), posterior, tables
 
 
