@@ -200,8 +200,10 @@ def train(rows: list[tuple[str, str]], rounds: int = ROUNDS) -> Model:
 def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A field of documents that aren't held out; to the driver come at most fit_rows whole texts of each language."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("doc_id").alias("h"))
-    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("r") <= fit_rows)
-    return train([(r["text"], r["lang"]) for r in chosen.orderBy("lang", "r").collect()])
+    # drawn without their texts; fit_rows of each language at most are broadcast to fetch those
+    ids = rows.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= fit_rows).select("lang", "h").distinct()
+    chosen = rows.join(F.broadcast(ids), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return train([(r["text"], r["lang"]) for r in chosen.orderBy("lang", "h").collect()])
 
 
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
