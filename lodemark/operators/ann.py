@@ -1,26 +1,64 @@
-"""Approximate search: random-projection buckets of unit vectors, then exact cosines of what shares a bucket."""
+"""Approximate search: an inverted file of k-means cells, whose nearest cells are searched exactly."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemark.operators.retrieval import l2_normalize
+from lodemark.operators.retrieval import _unit
 
+#: Vectors that the cells are fitted on at most, and vectors of a cell that one task holds.
+FIT_ROWS, CELL_ROWS = 20_000, 20_000
 
-def build(kb: DataFrame, bucket: float = 1.0, tables: int = 4, seed: int = 42):
-    """A fitted model and the hashed knowledge base (kb_ordinal, embedding)."""
-    vectors = kb.select("kb_ordinal", array_to_vector(l2_normalize(F.col("embedding"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=seed).fit(vectors)
-    return model, model.transform(vectors)
 
+def build(kb: DataFrame, cells: int = 64, rounds: int = 10, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+    """Centres of the cells, and the knowledge base (kb_ordinal, embedding) with cell and part, a slice of a large cell."""
+    sample = kb.select("kb_ordinal", "embedding").orderBy(F.xxhash64("kb_ordinal")).limit(FIT_ROWS).toPandas()
+    x, draw = _unit(sample["embedding"]), np.random.default_rng(seed)
+    centre = x[draw.choice(len(x), min(cells, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = (x @ centre.T).argmax(axis=1)
+        sums = np.stack([np.bincount(near, x[:, d], len(centre)) for d in range(x.shape[1])], axis=1)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centre = np.where(length > 0, sums / np.where(length > 0, length, 1), centre)
+    parts = max(1, -(-kb.count() // CELL_ROWS))
 
-def search(model, hashed: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, kb_ordinal, similarity. On unit vectors the cosine is 1 - d² / 2 of the distance d."""
-    asked = queries.select("query_id", array_to_vector(l2_normalize(F.col("embedding"))).alias("v"))
-    near = model.approxSimilarityJoin(asked, hashed, 2.01, "d").select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.kb_ordinal").alias("kb_ordinal"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=(_unit(pdf["embedding"]) @ centre.T).argmax(axis=1).astype("int32"))
+
+    placed = kb.select("kb_ordinal", "embedding").mapInPandas(assign, "kb_ordinal long, embedding array<float>, cell int")
+    return centre, placed.withColumn("part", F.pmod(F.xxhash64("kb_ordinal"), F.lit(parts)).cast("int"))
+
+
+def search(centre: np.ndarray, placed: DataFrame, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+    """query_id, rank, kb_ordinal, similarity: the k best of the `probes` cells nearest to each query."""
+    key = queries.schema["query_id"].dataType.simpleString()
+    probes = min(probes, len(centre))
+
+    def route(batches):
+        for pdf in batches:
+            if len(pdf):
+                top = np.argpartition(-(_unit(pdf["embedding"]) @ centre.T), probes - 1, axis=1)[:, :probes]
+                yield pdf.assign(cell=list(top.astype("int32"))).explode("cell").astype({"cell": "int32"})
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            ids, matrix = right["kb_ordinal"].to_numpy(np.int64), _unit(right["embedding"])
+            for at in range(0, len(left), 256):
+                part = left.iloc[at : at + 256]
+                s = _unit(part["embedding"]) @ matrix.T
+                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                found.append(pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), top.shape[1]), "kb_ordinal": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "kb_ordinal": [], "similarity": []})
+
+    asked = queries.select("query_id", "embedding").mapInPandas(route, f"query_id {key}, embedding array<float>, cell int")
+    asked = asked.join(F.broadcast(placed.select("cell", "part").distinct()), "cell")  # a row for each cell and part: few beside the vectors
+    near = asked.groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInPandas(best, f"query_id {key}, kb_ordinal long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "kb_ordinal"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "kb_ordinal", "similarity")

@@ -192,9 +192,9 @@ def q_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def q_ann_recall(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    model, hashed = ann.build(v.select("kb_ordinal", "embedding"))
+    centre, placed = ann.build(v.select("kb_ordinal", "embedding"))
     exact = exact_topk(v.select("query_id", "embedding"), v.select("kb_ordinal", "embedding"), max(KS))
-    return metrics.ann_recall(exact, ann.search(model, hashed, v.select("query_id", "embedding"), max(KS)), KS)
+    return metrics.ann_recall(exact, ann.search(centre, placed, v.select("query_id", "embedding"), max(KS)), KS)
 
 
 def q_recall_of_half(spark: SparkSession, d: str) -> DataFrame:

@@ -51,9 +51,9 @@ def run_retrieval(spark: SparkSession, cfg: dict, query_vectors: DataFrame, capt
     n = queries.count()
     report = {"queries": n, "exact_search": {"total_s": took, "mean_ms": 1000 * took / n}, "spark": spark.version, "master": spark.sparkContext.master, **summarize(flagged, queries, pairs, r["ks"])}
     if r["ann"]:
-        model, hashed = ann.build(vectors, r["bucket"], r["tables"], cfg["seed"])
-        model.write().overwrite().save(f"{out}/ann_model")
-        found = ann.search(model, hashed, query_vectors, max(r["ks"]))
+        centre, placed = ann.build(vectors, r["cells"], seed=cfg["seed"])
+        sinks.write_vectors(placed, f"{out}/ann_cells")
+        found = ann.search(centre, spark.read.parquet(f"{out}/ann_cells"), query_vectors, max(r["ks"]), r["probes"])
         report["ann"] = {x["k"]: {m: x[m] for m in ("recall", "tie_aware_recall", "full_agreement")} for x in metrics.ann_recall(hits, found, r["ks"]).collect()}
     chosen = stratified_ids(queries, r["qualitative"], cfg["seed"])
     rows = results.where(F.col("query_id").isin(chosen)).orderBy("split", "query_id").collect()
