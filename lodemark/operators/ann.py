@@ -58,7 +58,8 @@ def search(centre: np.ndarray, placed: DataFrame, queries: DataFrame, k: int, pr
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "kb_ordinal": [], "similarity": []})
 
     asked = queries.select("query_id", "embedding").mapInPandas(route, f"query_id {key}, embedding array<float>, cell int")
-    asked = asked.join(F.broadcast(placed.select("cell", "part").distinct()), "cell")  # a row for each cell and part: few beside the vectors
-    near = asked.groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInPandas(best, f"query_id {key}, kb_ordinal long, similarity double")
+    there = placed.select(F.col("cell").alias("c"), F.col("part").alias("p")).distinct()
+    asked = asked.join(F.broadcast(there), F.col("cell") == F.col("c"))  # a row for each cell and part: few beside the vectors
+    near = asked.groupBy("c", "p").cogroup(placed.groupBy("cell", "part")).applyInPandas(best, f"query_id {key}, kb_ordinal long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "kb_ordinal"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "kb_ordinal", "similarity")
