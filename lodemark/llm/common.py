@@ -52,6 +52,13 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of texts be small, for all that the session runs: 10,000 whole texts at once fill a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 class _Cleaned:
     """Shuffle files of the queries run inside are dropped when each ends: what it made is in a written table by then."""
 

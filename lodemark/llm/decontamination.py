@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import session
+from lodemark.llm.common import session, small_batches
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage has to reach. A passage with 0.8 of an item's shingles has more.
@@ -170,6 +170,7 @@ def build_indexes(benchmark: DataFrame, shard_items: int = SHARD_ITEMS, id_col:
     Items without words and items without an id can't be matched and are left out. Statistics are those of the shard.
     """
     spark = session(benchmark)
+    small_batches(spark)
     items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     shards = -(-items.count() // shard_items)
     out = []

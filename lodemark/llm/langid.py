@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodemark.llm.common import small_batches
 from lodemark.llm.folds import held_out
 
 #: Rows of each language that are learned from at most, those with the smallest hash of the id, and features kept at most.
@@ -221,6 +222,7 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
                 found = predict(part["text"].tolist())
                 yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 

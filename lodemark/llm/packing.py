@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import buckets_for, cut, scratch, session, with_prefix, write_text
+from lodemark.llm.common import buckets_for, cut, scratch, session, small_batches, with_prefix, write_text
 
 CAPACITY = 1024
 #: Tokens that a pattern may leave empty.
@@ -168,6 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int =
     other than the two are not looked at. The demand that comes to the driver has at most `capacity` - 1 rows.
     """
     spark = session(docs)
+    small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # written, so that a row's uid and its ids never change again
     tokens = cut(rows.mapInPandas(_tokenised(tokenizer, capacity), "uid long, doc_id long, doc_tokens long, full array<long>, rest int, rest_crc long, rest_ids binary"), "tokens")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import cut, hashed_sample
+from lodemark.llm.common import cut, hashed_sample, small_batches
 
 BINS = 4096
 #: About so many rows fit the linear scorer: those with the smallest hashes of id and text.
@@ -150,6 +150,7 @@ def score(bins, shares, w: np.ndarray) -> float:
 
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id with the votes (as one number in base 3) and the hashed features of each text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("h"))
     return rows.mapInPandas(_mark, "doc_id long, h long, pattern int, bins array<int>, shares array<double>")
 

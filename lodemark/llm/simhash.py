@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import components, cut, session
+from lodemark.llm.common import components, cut, session, small_batches
 
 WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 UPPER = bytes(range(65, 91))
@@ -47,6 +47,8 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
 def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", name: str = "fp") -> DataFrame:
     """docs with a long column of signed fingerprints."""
 
+    small_batches(session(docs))
+
     @F.pandas_udf("long")
     def hashed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in texts:

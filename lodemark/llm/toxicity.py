@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodemark.llm.common import small_batches
 from lodemark.llm.folds import held_out
 
 #: Labelled rows that are learned from at most, by class: those with the smallest hash of the id.
@@ -167,6 +168,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
             s = pd.Series([score(t) for t in pdf["text"]], dtype=float, index=pdf.index)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": s, "predicted": (s >= 0.5).astype("int32")})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

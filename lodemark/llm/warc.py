@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import _Cleaned, cut, drop_cut, scratch, session
+from lodemark.llm.common import _Cleaned, cut, drop_cut, scratch, session, small_batches
 
 #: Payloads below this many bytes are never written as revisits.
 LEAST_REVISIT = 100
@@ -141,6 +141,7 @@ def write_monoliths(pages: DataFrame, path: str, least_revisit: int = LEAST_REVI
     it; where no id of the group is set, all are responses. A null html is an empty payload, a null url leaves its header
     out, a null page_id an empty record id. Rows repeated with the smallest id are all responses.
     """
+    small_batches(session(pages))
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html.cast("binary"), 256).alias("digest"))
     firsts = rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
