@@ -95,7 +95,7 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
     """The share of good texts, P(vote | class) of each labeller, and the posterior of good for each pattern."""
     patterns = sorted(counts)
-    v = np.array([[p // 3**k % 3 for k in range(LABELLERS - 1, -1, -1)] for p in patterns]).reshape(-1, LABELLERS)
+    v = np.array([[p // 3**k % 3 for k in range(LABELLERS - 1, -1, -1)] for p in patterns], np.int64).reshape(-1, LABELLERS)
     n = np.array([counts[p] for p in patterns], float)
     # to begin with, a vote for bad is believed over votes for good: labellers see only their own fault
     good = np.where((v == BAD).any(axis=1), 0.1, 0.9)
