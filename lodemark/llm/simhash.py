@@ -24,6 +24,7 @@ UPPER = bytes(range(65, 91))
 LOWERED = bytes.maketrans(UPPER, UPPER.lower())
 #: Fingerprints in a tile of the comparison: 64 kB, so a pair of tiles is a small row and 16.8 million comparisons.
 TILE = 4096
+LAST = (1 << 63) - 1
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -114,6 +115,18 @@ def links(fingerprints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFra
     return pairs.union(tiles.select("x", F.lit(None).cast("binary"))).mapInPandas(_compare(radius), "a long, b long")
 
 
+def _grouped(docs: DataFrame, shingle: int, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of docs: doc_id, h (hash of the text), fp, component_id, and root, the component's least fingerprint."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = cut(with_fingerprint(rows, shingle).select("doc_id", F.xxhash64("text").alias("h"), "fp"), "fingerprints")
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    linked = cut(components(links(distinct.select("fp"), radius)), "components")
+    named = linked.join(distinct, linked["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("smallest"))
+    ids = linked.join(named, "root").select(F.col("node").alias("fp"), "root", "smallest")
+    names = cut(distinct.join(ids, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("smallest", "least").alias("component_id")), "names")
+    return marked.join(names, "fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its id, fingerprint (16 hex digits) and component_id, the smallest id it is linked to.
 
@@ -121,19 +134,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col:
     link like any other. A null id is in its group but never names it (null component_id if no id of the group is set).
     Repeated rows come out as often as they went in. An empty table gives an empty table. Other columns are not looked at.
     """
-    marked = cut(with_fingerprint(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle).select("doc_id", "fp"), "fingerprints")
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    linked = cut(components(links(distinct.select("fp"), radius)), "components")
-    named = linked.join(distinct, linked["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("smallest"))
-    ids = linked.join(named, "root").select(F.col("node").alias("fp"), "smallest")
-    names = cut(distinct.join(ids, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component_id")), "names")
-    return marked.join(names, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _grouped(docs, shingle, radius, id_col, text_col).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """docs without near copies: of each group the row with the smallest doc_id stays; every row with a null id stays."""
-    found = near_duplicates(docs, shingle, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group one row stays, that with the smallest id.
+
+    Rows are told apart by id and text, so an id that stands for two texts is two documents; of those with the group's
+    smallest id, the one with the smallest hash stays, and of rows alike in both any one. A row with a null id stays only
+    where no id of its group is set. Extra columns stay as they are.
+    """
+    rows = cut(_grouped(docs, shingle, radius, id_col, text_col), "grouped")
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = rows.where(named).groupBy("root").agg(F.min("h").alias("first"))
+    rows = rows.join(first, "root").withColumn("stays", named & (F.col("h") == F.col("first")))
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("__d"), F.col("doc_id").isNull().alias("__null"), F.col("h").alias("__h")]
+    gone = cut(rows.where("not stays").select(*key).distinct(), "gone")
+    often = cut(rows.where("stays").select(*key).groupBy("__d", "__null", "__h").count().where("count > 1").drop("count"), "often")
+    mine = docs.withColumns({"__d": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), "__null": F.col(id_col).isNull(), "__h": F.xxhash64(text_col)})
+    on = ["__d", "__null", "__h"]
+    left = mine.join(gone, on, "left_anti")
+    if not often.isEmpty():
+        left = left.join(often, on, "left_anti").unionByName(left.join(often, on, "left_semi").dropDuplicates(on))
+    return left.select(docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
