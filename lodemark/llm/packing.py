@@ -10,14 +10,15 @@ and cut at the sequence boundaries, so every sequence but the last is full to wi
 from __future__ import annotations
 
 import json
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodemark.llm.common import buckets_for, cut, scratch, session, small_batches, with_prefix, write_text
 
@@ -62,21 +63,20 @@ def encoder(path: str):
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def _crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def _tokenised(path: str, capacity: int):
+    """Ids of each text and the 0, little-endian, in full sequences and a rest; nth numbers the full ones of a task."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, step = encoder(path), 4 * capacity
+        encode, step, part, nth = encoder(path), 4 * capacity, TaskContext.get().partitionId(), 0
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
                 ids = np.array([*encode(text or ""), 0], "<u4").tobytes()
                 full = len(ids) // step
                 rest = ids[full * step :]
-                rows.append((len(ids) // 4, [_crc(ids[k * step : (k + 1) * step]) for k in range(full)], len(rest) // 4, _crc(rest), rest))
-            yield pd.concat([pdf[["uid", "doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["doc_tokens", "full", "rest", "rest_crc", "rest_ids"])], axis=1)
+                rows.append((part, nth, len(ids) // 4, [ids[k * step : (k + 1) * step] for k in range(full)], len(rest) // 4, rest))
+                nth += full
+            yield pd.concat([pdf[["uid", "doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["part", "nth", "doc_tokens", "full", "rest", "rest_ids"])], axis=1)
 
     return run
 
@@ -155,13 +155,8 @@ def layout(demand: dict[int, int], capacity: int = CAPACITY, waste: int = WASTE,
     return out, sequence, sequence + -(-tokens // capacity)
 
 
-def _cut_crc(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(first_crc=[_crc(ids[: 4 * k]) for ids, k in zip(pdf["rest_ids"], pdf["room"])], second_crc=[_crc(ids[4 * k :]) for ids, k in zip(pdf["rest_ids"], pdf["room"])]).drop(columns="rest_ids")
-
-
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int = WASTE, columns: int = COLUMNS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Every row of docs is a document of its token ids and an id 0; a null or empty text is the id 0 alone. Null and repeated
     ids keep all their pieces. The longest texts become many full sequences. An empty table gives an empty one; columns
@@ -171,7 +166,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int =
     small_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # written, so that a row's uid and its ids never change again
-    tokens = cut(rows.mapInPandas(_tokenised(tokenizer, capacity), "uid long, doc_id long, doc_tokens long, full array<long>, rest int, rest_crc long, rest_ids binary"), "tokens")
+    tokens = cut(rows.mapInPandas(_tokenised(tokenizer, capacity), "uid long, doc_id long, part int, nth long, doc_tokens long, full array<binary>, rest int, rest_ids binary"), "tokens")
     demand = {r["rest"]: r["n"] for r in tokens.where("rest > 0").groupBy("rest").agg(F.count("*").alias("n")).collect()}
     intervals, first_cut, first_full = layout(demand, capacity, waste, columns)
     path = scratch(spark, "intervals")
@@ -179,33 +174,33 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, waste: int =
     # one row for each length below the capacity, with no more intervals in all than patterns have lengths: broadcast whatever the input
     table = spark.read.schema("rest int, parts array<struct<low: long, high: long, often: long, sequence: long, offset: long>>, buckets int").json(path)
     bucket = F.pmod(F.xxhash64("uid"), F.col("buckets")).cast("int")
-    rests = tokens.where("rest > 0").select("uid", "doc_id", "doc_tokens", "rest", "rest_crc").join(F.broadcast(table.select("rest", "buckets")), "rest")
+    rests = tokens.where("rest > 0").select("uid", "rest").join(F.broadcast(table.select("rest", "buckets")), "rest")
     ranked = with_prefix(rests, ["rest"], [F.col("uid")], bucket, F.lit(1), "r").drop("buckets")
-    placed = ranked.join(F.broadcast(table.select("rest", "parts")), "rest").withColumn("i", F.element_at(F.filter("parts", lambda x: (x["low"] <= F.col("r")) & (F.col("r") < x["high"])), 1)).drop("parts")
-    start = (F.col("doc_tokens") - F.col("rest")).alias("start")
-    nth = F.col("r") - F.col("i.low")
-    piece = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    in_pattern = placed.where("i.often > 0").select("doc_id", start, F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", (F.col("i.sequence") + F.floor(nth / F.col("i.often"))).alias("sequence_id"), (F.col("i.offset") + nth % F.col("i.often") * F.col("rest")).alias("offset"))
-    laid = placed.where("i.often = 0").withColumn("at", F.col("i.offset") + nth * F.col("rest")).withColumn("sequence_id", F.lit(first_cut) + F.floor(F.col("at") / capacity)).withColumn("offset", F.col("at") % capacity).withColumn("room", (capacity - F.col("offset")).cast("long"))
-    whole = laid.where("rest <= room").select("doc_id", start, F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
-    parted = laid.where("rest > room").select("uid", "doc_id", "doc_tokens", "rest", "sequence_id", "offset", "room").join(tokens.select("uid", "rest_ids"), "uid").mapInPandas(_cut_crc, "uid long, doc_id long, doc_tokens long, rest int, sequence_id long, offset long, room long, first_crc long, second_crc long")
-    halves = parted.select(
-        "doc_id",
-        "doc_tokens",
-        F.explode(
-            F.array(
-                F.struct((F.col("doc_tokens") - F.col("rest")).alias("start"), F.col("room").alias("length"), F.col("first_crc").alias("ids_crc32"), F.col("sequence_id"), F.col("offset")),
-                F.struct((F.col("doc_tokens") - F.col("rest") + F.col("room")).alias("start"), (F.col("rest") - F.col("room")).alias("length"), F.col("second_crc").alias("ids_crc32"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
-            )
-        ).alias("e"),
-    ).select("doc_id", "e.start", "e.length", "e.ids_crc32", "doc_tokens", "e.sequence_id", "e.offset")
-    long = with_prefix(tokens.where("size(full) > 0").select("uid", "doc_id", "doc_tokens", "full"), [], [F.col("uid")], F.pmod(F.xxhash64("uid"), F.lit(buckets_for(sum(demand.values()), 50 * BUCKET_ROWS))).cast("int"), F.size("full"), "g")
-    cut_off = long.select("doc_id", "doc_tokens", "g", F.posexplode("full").alias("k", "ids_crc32")).select("doc_id", (F.col("k") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.lit(first_full) + F.col("g") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    pieces = [in_pattern, whole, halves, cut_off]
-    out = pieces[0].select(*piece)
-    for p in pieces[1:]:
-        out = out.union(p.select(*piece))
-    return out.select(*(F.col(c).cast("long") for c in piece))
+    placed = ranked.join(F.broadcast(table.select("rest", "parts")), "rest").withColumn("i", F.element_at(F.filter("parts", lambda x: (x["low"] <= F.col("r")) & (F.col("r") < x["high"])), 1))
+    nth, at = F.col("r") - F.col("i.low"), F.col("i.offset") + (F.col("r") - F.col("i.low")) * F.col("rest")
+    in_pattern = F.col("i.often") > 0
+    placed = placed.select(
+        "uid",
+        F.when(in_pattern, F.col("i.sequence") + F.floor(nth / F.col("i.often"))).otherwise(F.lit(first_cut) + F.floor(at / capacity)).alias("sequence_id"),
+        F.when(in_pattern, F.col("i.offset") + nth % F.col("i.often") * F.col("rest")).otherwise(at % capacity).alias("offset"),
+    )
+    whole = tokens.where("rest > 0").select("uid", "doc_id", "doc_tokens", F.col("rest").cast("long").alias("rest"), "rest_ids").join(placed, "uid").withColumn("room", F.least("rest", F.lit(capacity) - F.col("offset")))
+    start = F.col("doc_tokens") - F.col("rest")
+    head = F.struct(start.alias("start"), F.col("room").alias("length"), F.substring("rest_ids", F.lit(1), (F.col("room") * 4).cast("int")).alias("ids"), F.col("sequence_id"), F.col("offset"))
+    tail = F.struct((start + F.col("room")).alias("start"), (F.col("rest") - F.col("room")).alias("length"), F.substring("rest_ids", (F.col("room") * 4 + 1).cast("int"), (F.col("rest") * 4).cast("int")).alias("ids"), (F.col("sequence_id") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    piece = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    short = whole.select("doc_id", "doc_tokens", F.explode(F.when(F.col("room") < F.col("rest"), F.array(head, tail)).otherwise(F.array(head))).alias("e")).select("doc_id", "doc_tokens", "e.*").select(*piece)
+    # one row for each task that tokenised; written, so its size is known, and the join broadcasts it or not by that
+    counts = tokens.where("size(full) > 0").groupBy("part").agg(F.sum(F.size("full")).alias("n"))
+    before = cut(counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "before")
+    long = tokens.where("size(full) > 0").select("doc_id", "doc_tokens", "part", "nth", F.posexplode("full").alias("k", "ids")).join(before, "part")
+    long = long.select("doc_id", (F.col("k") * F.lit(capacity)).cast("long").alias("start"), F.lit(capacity).cast("long").alias("length"), "ids", "doc_tokens", (F.lit(first_full) + F.col("before") + F.col("nth") + F.col("k")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return short.union(long.select(*piece))
+
+
+def with_digests(pieces: DataFrame) -> DataFrame:
+    """pieces with ids_crc32 in place of their ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def vocabulary() -> str:
@@ -216,4 +211,4 @@ def vocabulary() -> str:
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+    return with_digests(pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary()))
