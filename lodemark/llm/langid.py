@@ -110,29 +110,42 @@ class Model:
     trans: np.ndarray
     begin: np.ndarray
 
-    def predictor(self):
-        """texts -> (language, score) of each, with a cache of word weights of its own."""
+    def marker(self):
+        """lists of words -> P(language) of every word of all of them, one after another; with a cache of word weights of its own."""
         known: dict[str, int] = {}
         table = np.zeros((0, len(self.langs)), np.float32)
 
-        def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+        def mark(split: list[list[str]]) -> np.ndarray:
             nonlocal table
-            split = [words_of(t) for t in texts]
             if len(known) > CACHE:
                 known.clear()
                 table = table[:0]
             new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in known]
             known.update((w, len(table) + i) for i, w in enumerate(new))
             table = np.concatenate((table, self.emission(new).astype(np.float32)))
-            sizes = np.array([len(ws) for ws in split])
+            sizes = np.array([len(ws) for ws in split], np.int64)
             ids = np.fromiter((known[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+            if not len(ids) or not self.langs:
+                return np.zeros((len(ids), len(self.langs)))
+            first = np.zeros(len(ids), bool)
+            first[np.concatenate(([0], np.cumsum(sizes)))[:-1][sizes > 0]] = True
+            return posteriors(table[ids].astype(float), self.trans, self.begin, first)
+
+        return mark
+
+    def predictor(self):
+        """texts -> (language, score) of each."""
+        mark = self.marker()
+
+        def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+            split = [words_of(t) for t in texts]
+            sizes = np.array([len(ws) for ws in split], np.int64)
             out = [(UNKNOWN, 0.0)] * len(texts)
-            if len(ids) and self.langs:
+            found = mark(split)
+            if found.size:
                 full = np.nonzero(sizes)[0]
                 at = np.concatenate(([0], np.cumsum(sizes[full])))[:-1]
-                first = np.zeros(len(ids), bool)
-                first[at] = True
-                share = np.add.reduceat(posteriors(table[ids].astype(float), self.trans, self.begin, first), at, axis=0) / sizes[full][:, None]
+                share = np.add.reduceat(found, at, axis=0) / sizes[full][:, None]
                 for i, s in zip(full.tolist(), share):
                     best = int(s.argmax())
                     out[i] = (self.langs[best], float(min(max(s[best], 0.0), 1.0)))
@@ -140,6 +153,26 @@ class Model:
 
         return predict
 
+    def labeller(self):
+        """texts -> spans of each: (start, end, language, score), runs of words of one language, by character."""
+        mark = self.marker()
+
+        def label(texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
+            places = [[m.span() for m in WORD.finditer(t or "")] for t in texts]
+            found = mark([[t[a:b].lower() for a, b in p] for t, p in zip(texts, places)])
+            out, at = [], 0
+            for p in places:
+                mine, at = found[at : at + len(p)], at + len(p)
+                spans = []
+                if mine.size:
+                    best = mine.argmax(axis=1)
+                    edges = [0, *(np.nonzero(np.diff(best))[0] + 1).tolist(), len(p)]
+                    spans = [(p[i][0], p[j - 1][1], self.langs[best[i]], float(mine[i:j, best[i]].mean())) for i, j in zip(edges, edges[1:])]
+                out.append(spans)
+            return out
+
+        return label
+
     def emission(self, words: list[str]) -> np.ndarray:
         """Log weights of each word: the sum over the features that training knows."""
         rows = [[self.index[f] for f in features_of(w) if f in self.index] for w in words]
@@ -226,6 +259,23 @@ def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def label_spans(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per row of docs: doc_id and spans, the runs of words of one language in each text, in order.
+
+    A span has start and end (characters of the text; the end is the first after it), lang, and score, the mean of its
+    words' probabilities. Texts that are null or have no letters have no spans. Null and repeated ids pass through.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = model.labeller()
+        for pdf in batches:
+            found = label([None if pd.isna(t) else t for t in pdf["text"]])
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "spans": pd.Series([[dict(zip(("start", "end", "lang", "score"), s)) for s in x] for x in found], index=pdf.index, dtype=object)})
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, spans array<struct<start: int, end: int, lang: string, score: double>>")
+
+
 def op10_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict_language(docs, learn(docs))
