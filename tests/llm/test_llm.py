@@ -93,14 +93,17 @@ def test_packing(spark, capacity):
     got = packing.pack(docs, path, capacity, waste=2).collect()
     assert sum(r["length"] for r in got) == sum(map(len, want))
     for r in got:
+        assert 4 * r["length"] == len(r["ids"])
         if r["doc_id"] is not None and r["doc_id"] < 12:
             ids = [*tokenizer.encode(text(r["doc_id"], 5 + 20 * r["doc_id"]), add_special_tokens=False).ids, 0]
-            assert zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) == r["ids_crc32"] and r["doc_tokens"] == len(ids)
+            assert np.frombuffer(r["ids"], "<u4").tolist() == ids[r["start"] : r["start"] + r["length"]] and r["doc_tokens"] == len(ids)
     filled: dict = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == filled.get(r["sequence_id"], 0)
         filled[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(filled.values()) <= capacity and sum(filled.values()) >= 0.85 * capacity * (len(filled) - 1)
+    digests = {(r["doc_id"], r["start"], r["ids_crc32"]) for r in packing.with_digests(packing.pack(docs, path, capacity, waste=2)).collect()}
+    assert digests == {(r["doc_id"], r["start"], zlib.crc32(r["ids"])) for r in got}
     assert packing.pack(empty(spark), path).count() == 0
 
 
@@ -245,3 +248,14 @@ def test_neighbours(spark):
         if q in (0, 200, 250):
             assert mine == want
     assert found / total >= 0.9 and {r["query_id"] for r in got} == set(range(0, 300, 50))
+
+
+def test_language_spans(spark):
+    en, de = "the house of things and other".split(), "das haus der dinge und andere".split()
+    model = langid.train([(" ".join(random.Random(i).choices(en if i % 2 else de, k=30)), "en" if i % 2 else "de") for i in range(60)] + [(" ".join(en) + "\n" + " ".join(de), "en")] * 20)
+    mixed = "The house of things; das Haus der Dinge und andere. 12"
+    docs = spark.createDataFrame([(1, mixed, "x"), (2, None, "x"), (None, "12 .", "x"), (3, "", "x")], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in langid.label_spans(docs, model).collect()}
+    assert [(mixed[s["start"] : s["end"]], s["lang"]) for s in got[1]] == [("The house of things", "en"), ("das Haus der Dinge und andere", "de")]
+    assert got[2] == got[3] == got[None] == [] and all(0.5 < s["score"] <= 1 for s in got[1])
+    assert langid.label_spans(empty(spark), model).count() == 0
