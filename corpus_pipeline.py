@@ -1,7 +1,7 @@
 """A training corpus out of documents: five stages, each a table that the next one reads.
 
 Quality, line dedup, near-duplicates, benchmark leaks, packing. No SQL expresses the first, third and fifth stage, so
-ORACLE_SQL is None; tests/llm hold every stage against a plain version of itself.
+ORACLE_SQL is None; tests/llm/test_pipeline.py holds every stage against a plain version of itself.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lodemark.llm.common import cut
 from lodemark.llm.decontamination import drop_leaks
 from lodemark.llm.linededup import dedup_lines
-from lodemark.llm.packing import pack, vocabulary
+from lodemark.llm.packing import pack, vocabulary, with_digests
 from lodemark.llm.quality import keep_good
 from lodemark.llm.simhash import keep_one
 
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the token ids of all documents left, in sequences of 1024."""
-    return pack(docs, vocabulary())
+    return with_digests(pack(docs, vocabulary()))
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("packing", packing)]
