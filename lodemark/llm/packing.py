@@ -2,9 +2,10 @@
 
 Full sequences are cut off a document's front; what remains, by length, is the demand of a cutting-stock problem. A linear
 program over patterns (how often each length is in a sequence) is solved by the simplex method with columns priced by a
-knapsack dynamic program. Rounded-down patterns with little waste are assigned to documents ranked within their length.
-What the rounding leaves (at most one sequence for each pattern, or lengths that fit no pattern well) is laid end to end
-and cut at the sequence boundaries, so every sequence but the last is full to within the waste allowed.
+knapsack dynamic program; it starts from patterns that fill a sequence behind the longest length left. Rounded-down
+patterns with little waste are assigned to documents ranked within their length, and what the rounding leaves is filled
+into whole patterns in the same way. Only lengths that then fit no pattern well are laid end to end and cut at the sequence
+boundaries, so every sequence but the last is full to within the waste allowed.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from lodemark.llm.common import buckets_for, cut, scratch, session, small_batche
 CAPACITY = 1024
 #: Tokens that a pattern may leave empty.
 WASTE = 8
-#: Columns generated at most; later ones save less than the cutting of the rest does.
-COLUMNS = 700
+#: Columns generated at most, should the program not come within its bound before: a large table needs few or none.
+COLUMNS = 5000
+#: Lengths tried, the longest first, as one of three that fill a sequence.
+TRIED = 16
 #: Rows of a length that one task ranks; a common length has as many buckets as that takes.
 BUCKET_ROWS = 1000
 # The pre-tokenisation pattern of the public byte-level BPE vocabularies.
@@ -102,22 +105,104 @@ def _price(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float
     return float(best[capacity]), often
 
 
-def solve(demand: dict[int, int], capacity: int = CAPACITY, columns: int = COLUMNS) -> list[tuple[float, dict[int, int]]]:
-    """Patterns of the (nearly) optimal linear program with how often each is used, not rounded."""
+def _fill(have: np.ndarray, room: int, least: float, waste: int) -> list[int] | None:
+    """Up to three lengths of which at least `least` is there and that fill room to within the waste; None if there are none."""
+
+    def two(left: np.ndarray, total: int) -> list[int] | None:
+        both = np.minimum(left[1:total], left[total - 1 : 0 : -1])
+        if total % 2 == 0 and len(both):
+            both[total // 2 - 1] /= 2
+        return [x := int(both.argmax()) + 1, total - x] if len(both) and both.max() >= least else None
+
+    totals = range(room, max(room - waste, 0) - 1, -1)
+    for total in totals:
+        if not total:
+            return []
+        if have[total] >= least:
+            return [total]
+        if found := two(have, total):
+            return found
+    for total in totals:
+        for x in np.nonzero(have[:total] >= least)[0][: -TRIED - 1 : -1].tolist():
+            rest = have.copy()
+            rest[x] -= least
+            if found := two(rest, total - x):
+                return [x, *found]
+    return None
+
+
+def greedy(demand: dict[int, float], capacity: int, waste: int, whole: bool) -> list[tuple[float, dict[int, int], int]]:
+    """Patterns by turns behind the longest length left: how often, lengths, and the length that is used up by it.
+
+    Not whole: all demand is met in fractions, and no pattern has a length that an earlier one used up. Whole: whole numbers,
+    and only patterns with no more waste than allowed.
+    """
+    left, least, out = np.zeros(capacity + 1), 1 if whole else 1e-9, []
+    for k, v in demand.items():
+        left[k] = v
+    while len(there := np.nonzero(left >= least)[0]):
+        have, pattern, room, more = left.copy(), {}, capacity, [int(there[-1])]
+        while more:
+            for k in more:
+                pattern[k] = pattern.get(k, 0) + 1
+                have[k] -= least
+                room -= k
+            if not room:
+                break
+            filled = _fill(have, room, least, waste)
+            more = filled if filled is not None else np.nonzero(have[: room + 1] >= least)[0][-1:].tolist()
+        used_up = min(pattern, key=lambda k: left[k] / pattern[k])
+        times = left[used_up] / pattern[used_up]
+        if whole:
+            times = int(times)
+            if room > waste or not times:
+                left[there[-1]] = 0
+                continue
+        for k, often in pattern.items():
+            left[k] -= times * often
+        if not whole:
+            left[used_up] = 0
+        out.append((times, pattern, used_up))
+    return out
+
+
+def solve(demand: dict[int, int], capacity: int = CAPACITY, columns: int = COLUMNS, waste: int = WASTE) -> list[tuple[float, dict[int, int]]]:
+    """Patterns of the (nearly) optimal linear program with how often each is used, not rounded.
+
+    It ends at the optimum, or where no packing in whole sequences can need fewer than it does.
+    """
     lengths = np.array(sorted(k for k, v in demand.items() if v), np.int64)
     if not len(lengths):
         return []
     need = np.array([demand[int(k)] for k in lengths], float)
-    fit = capacity // lengths
-    patterns = np.diag(fit.astype(float))
-    inverse, used = np.diag(1.0 / fit), need / fit
+    # a little more of each length, so that no two are used up at once and no step of the simplex method stands still
+    moved = need + np.random.default_rng(42).random(len(need)) * 2e-4
+    at = {int(k): i for i, k in enumerate(lengths)}
+    fit = (capacity // lengths).astype(float)
+    patterns, used, inverse, bound = np.diag(fit), np.zeros(len(lengths)), np.eye(len(lengths)), float((lengths * need).sum()) / capacity
+    # each pattern stands for the length it uses up, in none after it: a triangular matrix, so a basis to start from, whose
+    # inverse takes a row operation for each entry (np.linalg.inv was seen to hang in a process with a running JVM)
+    single = set(range(len(lengths)))
+    for times, pattern, used_up in greedy(dict(zip(at, moved)), capacity, waste, False):
+        i = at[used_up]
+        single.discard(i)
+        patterns[i, i], used[i] = 0, times
+        inverse[i] /= pattern[used_up]
+        for k, often in pattern.items():
+            patterns[at[k], i] = often
+            if k != used_up:
+                inverse[at[k]] -= often * inverse[i]
+    for i in single:
+        inverse[i] /= fit[i]
     for _ in range(columns):
+        if used.sum() <= np.ceil(bound - 1e-6) + 0.1:
+            break
         worth = inverse.sum(axis=0)
         value, column = _price(lengths, worth, capacity)
         if value <= 1 + 1e-6:
             break
         into = inverse @ column
-        ratio = np.where(into > 1e-9, used / np.where(into > 1e-9, into, 1), np.inf)
+        ratio = np.where(into > 1e-7, used / np.where(into > 1e-7, into, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
         used = used - step * into
@@ -127,7 +212,8 @@ def solve(demand: dict[int, int], capacity: int = CAPACITY, columns: int = COLUM
         inverse -= np.outer(into, pivot)
         inverse[out] = pivot
         patterns[:, out] = column
-    return [(float(used[p]), {int(lengths[i]): int(patterns[i, p]) for i in np.nonzero(patterns[:, p])[0]}) for p in range(len(lengths)) if used[p] >= 1]
+    used = np.maximum(inverse @ need, 0)
+    return [(float(used[p]), {int(lengths[i]): int(patterns[i, p]) for i in np.nonzero(patterns[:, p])[0]}) for p in range(len(lengths)) if used[p] >= 1 - 1e-9]
 
 
 def layout(demand: dict[int, int], capacity: int = CAPACITY, waste: int = WASTE, columns: int = COLUMNS) -> tuple[dict[int, list[tuple]], int, int]:
@@ -137,16 +223,23 @@ def layout(demand: dict[int, int], capacity: int = CAPACITY, waste: int = WASTE,
     to end from token `offset` of the part that is cut.
     """
     at, sequence, out = dict.fromkeys(demand, 0), 0, {k: [] for k in demand}
-    for used, pattern in solve(demand, capacity, columns):
+
+    def place(used: float, pattern: dict[int, int]) -> None:
+        nonlocal sequence
         times = min(int(used + 1e-9), *((demand[k] - at[k]) // often for k, often in pattern.items()))
         if times < 1 or capacity - sum(k * often for k, often in pattern.items()) > waste:
-            continue
+            return
         offset = 0
         for k, often in sorted(pattern.items(), reverse=True):
             out[k].append((at[k], at[k] + often * times, often, sequence, offset))
             at[k] += often * times
             offset += k * often
         sequence += times
+
+    for used, pattern in solve(demand, capacity, columns, waste):
+        place(used, pattern)
+    for used, pattern, _ in greedy({k: v - at[k] for k, v in demand.items()}, capacity, waste, True):
+        place(used, pattern)
     tokens = 0
     for k in sorted(demand, reverse=True):
         if at[k] < demand[k]:

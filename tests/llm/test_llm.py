@@ -113,6 +113,22 @@ def test_linear_program():
     assert all(sum(k * n for k, n in p.items()) <= 1024 for _, p in patterns)
 
 
+def test_patterns_place_what_is_packed():
+    draw = np.random.default_rng(1)
+    demand = {k: int(draw.integers(1, 20)) * (2 if k < 512 else 1) for k in range(1, 1024)}
+    intervals, first_cut, sequences = packing.layout(demand)
+    total = sum(k * v for k, v in demand.items())
+    by_pattern = sum(k * (high - low) for k, parts in intervals.items() for low, high, often, *_ in parts if often)
+    assert by_pattern >= 0.98 * total and sequences <= -(-total // 1024) + 10
+    filled = np.zeros(first_cut, int)
+    for k, parts in intervals.items():
+        assert [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == demand[k]
+        for low, high, often, sequence, _ in parts:
+            if often:
+                filled[sequence : sequence + (high - low) // often] += k * often
+    assert filled.max() <= 1024 and filled.min() >= 1024 - packing.WASTE
+
+
 def test_line_dedup(spark):
     line = "The quick brown fox jumps over the lazy dog, é twice."
     rows = [(1, f"{line}\nshort\n{line}", "x"), (2, f"short\n{line[:-1]}\nA line of its own that stays here.", "x"), (3, line.replace("quick", "quack") + "\n" + line.replace("é", "è"), None), (4, None, "x"), (5, "", "x"), (None, f"x{line}", "x"), (6, line + " And more than one edit.", "x")]
