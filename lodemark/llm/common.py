@@ -16,9 +16,14 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary one if driver and executors are one process, as in tests, and an error on a cluster.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.split("-")[0].startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="lodemark-")
@@ -37,6 +42,11 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, p = _path(spark, path)
     fs.delete(p, True)
@@ -90,6 +100,37 @@ def drop_cut(df: DataFrame) -> None:
         remove(session(df), path)
 
 
+def free(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with as many underscores before them as it takes to be none of the columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Keys that may count as hot at most (those are a table that is broadcast), and rows that a hot key has at least.
+HOT_KEYS, LEAST_HOT = 10_000, 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with table, which has each key once and in `count` how many of the rows have it.
+
+    Keys that more than 1 / HOT_KEYS of the rows have (there are HOT_KEYS of them at most) are broadcast, so their rows
+    stay where they are; all others meet by a shuffle, in groups that small. table has to be a written one.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > max(total // HOT_KEYS, LEAST_HOT)
+    some = table.where(hot).drop(count)
+    if some.isEmpty():
+        return rows.join(table.drop(count), key, how)
+    near = rows.join(F.broadcast(some), key)
+    rest = rows.join(F.broadcast(some.select(key)), key, "left_anti")
+    return near.unionByName(rest.join(table.where(~hot).drop(count), key, how))
+
+
 def hashed_sample(rows: DataFrame, h: str, n: int, most: int) -> DataFrame:
     """About `most` of the n rows (all, if fewer): those whose hash column h is below a bound that n fixes."""
     if n <= most:
@@ -117,21 +158,30 @@ def with_prefix(df: DataFrame, group: list[str], order: list[Column], bucket: Co
     return df.join(totals, [*group, "_b"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_b", "_w", "_base", "_in")
 
 
+#: Tasks that one node's edges are dealt over.
+SALTS = 16
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node reachable, for every node of an edge table of two long columns.
 
     Alternates large-star and small-star, each a grouped minimum and a join, until no edge moves; every round is a
-    written table, and only its row count and checksum come to the driver.
+    written table, and only its row count and checksum come to the driver. Joins are salted, so a hub's edges are dealt
+    over SALTS tasks.
     """
-    spark = session(edges)
+
+    def with_least(pairs: DataFrame, least: DataFrame) -> DataFrame:
+        many = least.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(many, ["u", "_s"]).drop("_s")
+
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        small = with_least(large, least).select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = cut(small, "edges")
         drop_cut(now)
         now = after
