@@ -10,21 +10,23 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import cut, hashed_sample, small_batches
+from lodemark.llm.common import cut, free, hashed_sample, small_batches
 
 BINS = 4096
 #: About so many rows fit the linear scorer: those with the smallest hashes of id and text.
 FIT_ROWS = 20_000
 GOOD, BAD = 1, 2
 SYMBOLS = re.compile(r"[%$&*#|<>{}\[\]@^~\\=+_]")
+#: Characters that a word's shape is remembered for; longer words are read whole each time.
+REMEMBERED = 64
 
 
 def _vote(x: float, good: float, bad: float) -> int:
@@ -37,7 +39,8 @@ def votes(text: str, words: list[str]) -> list[int]:
     n = len(words)
     if not n:
         return [0, 0, 0, BAD, 0, 0, 0]
-    letters = sum(map(str.isalpha, text)) if len(text) < 64 else len(text) - text.count(" ")
+    # whether there are two letters; the count ends at the second
+    letters = len(list(islice(filter(str.isalpha, text), 2)))
     repeats = sum(a == b for a, b in zip(words, words[1:])) / n
     upper = sum(w.isupper() and len(w) > 1 for w in words) / n
     symbols = len(SYMBOLS.findall(text)) / len(text)
@@ -57,17 +60,23 @@ def votes(text: str, words: list[str]) -> list[int]:
 LABELLERS = 7
 
 
-@lru_cache(maxsize=200_000)
 def shape(word: str) -> int:
     """Bin of a word's shape: runs of capitals, small letters and digits as one mark each, other characters as they are."""
+    return _known_shape(word) if len(word) <= REMEMBERED else _shape(word)
+
+
+def _shape(word: str) -> int:
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         m = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != m:
             out.append(m)
     return zlib.crc32("".join(out).encode("utf-8", "replace")) % (BINS - 2)
 
 
+_known_shape = lru_cache(maxsize=200_000)(_shape)
+
+
 def features(words: list[str]) -> tuple[list[int], list[float]]:
     """Shares of words by shape bin, of words equal to the one before, and of words seen earlier in the text."""
     if not words:
@@ -80,16 +89,21 @@ def features(words: list[str]) -> tuple[list[int], list[float]]:
     return [*bins.tolist(), BINS - 2, BINS - 1], [*(counts / n).tolist(), again / n, seen]
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text in pdf["text"]:
-            words = (text or "").split()
-            pattern = 0
-            for v in votes(text or "", words):
-                pattern = pattern * 3 + v
-            rows.append((pattern, *features(words)))
-        yield pd.concat([pdf[["doc_id", "h"]].reset_index(drop=True), pd.DataFrame(rows, columns=["pattern", "bins", "shares"])], axis=1)
+def mark(text: str | None) -> tuple[int, list[int], list[float]]:
+    """A text's votes as one number in base 3, and its features."""
+    words = (text or "").split()
+    pattern = 0
+    for v in votes(text or "", words):
+        pattern = pattern * 3 + v
+    return pattern, *features(words)
+
+
+def _marks(text: str) -> Column:
+    @F.pandas_udf("struct<pattern: int, bins: array<int>, shares: array<double>>")
+    def marked(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([mark(t) for t in texts], columns=["pattern", "bins", "shares"])
+
+    return marked(F.col(text))
 
 
 def expectation_maximisation(counts: dict[int, int], rounds: int = 200) -> tuple[float, np.ndarray, dict[int, float]]:
@@ -148,13 +162,6 @@ def score(bins, shares, w: np.ndarray) -> float:
     return 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc_id with the votes (as one number in base 3) and the hashed features of each text."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("h"))
-    return rows.mapInPandas(_mark, "doc_id long, h long, pattern int, bins array<int>, shares array<double>")
-
-
 def train(marks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict[int, float], np.ndarray]:
     """The scorer's weights, the posteriors by pattern, and the labellers' tables. Votes of all rows count.
 
@@ -166,37 +173,45 @@ def train(marks: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict[
     return fit_scorer([(r["bins"], r["shares"], posterior[r["pattern"]]) for r in sample if r["bins"]]), posterior, tables
 
 
+def _scored(name: str, w: np.ndarray) -> Column:
+    @F.pandas_udf("double")
+    def scored(bins: pd.Series, shares: pd.Series) -> pd.Series:
+        return pd.Series([round(score(b, s, w), 9) for b, s in zip(bins, shares)], dtype=float)
+
+    return scored(F.col(f"{name}.bins"), F.col(f"{name}.shares"))
+
+
 def classify(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of docs: doc_id, votes, posterior, score and keep.
 
-    Null texts and texts without words get score 0.0067 and are not kept. Null and repeated ids pass through; an empty
-    table gives an empty one; extra columns are not looked at.
+    Null texts and texts without words get score 0.0067 and are not kept; texts and words of any length are read whole.
+    Null and repeated ids pass through, ties have one score; an empty table gives an empty one; extra columns are not
+    looked at.
     """
-    marks = cut(marked(docs), "marks")
-    w, posterior, _ = train(marks)
-
-    @F.pandas_udf("double")
-    def scored(bins: pd.Series, shares: pd.Series) -> pd.Series:
-        return pd.Series([round(score(b, s, w), 9) for b, s in zip(bins, shares)], dtype=float)
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), _marks("text").alias("m"))
+    marks = cut(rows, "marks")
+    w, posterior, _ = train(marks.select("h", "m.*"))
 
     @F.pandas_udf("double")
     def believed(pattern: pd.Series) -> pd.Series:
         return pattern.map(posterior).astype(float)
 
-    out = marks.select("doc_id", F.lpad(F.conv(F.col("pattern").cast("string"), 10, 3), LABELLERS, "0").alias("votes"), believed("pattern").alias("posterior"), scored("bins", "shares").alias("score"))
+    out = marks.select("doc_id", F.lpad(F.conv(F.col("m.pattern").cast("string"), 10, 3), LABELLERS, "0").alias("votes"), believed("m.pattern").alias("posterior"), _scored("m", w).alias("score"))
     return out.withColumn("keep", F.col("score") >= threshold)
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that the scorer, trained on these docs, rejects."""
-    marks = cut(marked(docs), "marks")
-    w, _, _ = train(marks)
+    """docs without the rows that the scorer, trained on these docs, rejects; all others as they are.
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series([score(*features((t or "").split()), w) >= threshold for t in texts], dtype=bool)
-
-    return docs.where(good(F.col("text")))
+    Null texts and texts without words go. Null and repeated ids, ties and extra columns of any name make no difference;
+    an empty table stays empty. Texts are read in Python once: docs and marks are one written table until they are scored.
+    """
+    small_batches(docs.sparkSession)
+    m, h = free(docs.columns, "m", "h")
+    marks = cut(docs.withColumns({h: F.xxhash64("doc_id", "text"), m: _marks("text")}), "marks")
+    w, _, _ = train(marks.select(F.col(h).alias("h"), f"{m}.*"))
+    return marks.where(_scored(m, w) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
