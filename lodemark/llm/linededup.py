@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemark.llm.common import cut, drop_cut
+from lodemark.llm.common import cut, drop_cut, free
 
 EDITS = 1
 #: Shorter lines are kept as they are: a greeting or a list mark that comes again isn't a copy.
@@ -57,7 +57,7 @@ def _near(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFra
     coarse = cut(_shared(occurrences.select("h1", F.explode(_segments(F.col("line"), COARSE)["key"]).alias("key"))).select("h1").distinct(), "coarse")
     places = firsts.join(coarse, "h1").select("h1", "h2", "first")
     lines = cut(
-        docs.join(places.withColumn("k", F.col("first.k")), "k").select("h1", "h2", "first", F.get(F.split("text", "\n", -1), F.col("first.n")).alias("line")).dropDuplicates(["h1", "h2"]),
+        docs.join(places.withColumns({"d": F.col("first.d"), "k": F.col("first.k")}), ["d", "k"]).select("h1", "h2", "first", F.get(F.split("text", "\n", -1), F.col("first.n")).alias("line")).dropDuplicates(["h1", "h2"]),
         "lines",
     )
     drop_cut(coarse)
@@ -69,10 +69,10 @@ def _near(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFra
     begin, end = F.floor(F.col("p.m") * F.col("p.g") / FINE).cast("int"), F.floor(F.col("p.m") * (F.col("p.g") + 1) / FINE).cast("int")
     whole = F.col("p.m") == size
     at = at.withColumn("i", F.explode(F.sequence(begin, F.when(whole, end - 1).otherwise(end)))).withColumn("whole", whole)
-    variant = F.xxhash64(F.concat(F.substring("line", F.lit(1), F.col("i")), F.substring("line", F.col("i") + 2, size)))
-    variants = at.select("h1", "h2", "first", variant.alias("v"), F.when(F.col("whole"), F.col("i")).otherwise(F.lit(-1)).alias("i"), F.lit(False).alias("w"))
-    variants = variants.union(at.where("whole").select("h1", "h2", "first", F.col("h1"), F.lit(-1), F.lit(True))).distinct()
-    group = Window.partitionBy("v", "i")
+    left = F.concat(F.substring("line", F.lit(1), F.col("i")), F.substring("line", F.col("i") + 2, size))
+    variants = at.select("h1", "h2", "first", F.xxhash64(left).alias("v"), F.hash(left).alias("v2"), F.when(F.col("whole"), F.col("i")).otherwise(F.lit(-1)).alias("i"), F.lit(False).alias("w"))
+    variants = variants.union(at.where("whole").select("h1", "h2", "first", F.col("h1"), F.col("h2"), F.lit(-1), F.lit(True))).distinct()
+    group = Window.partitionBy("v", "v2", "i")
     me = F.struct("first", "h1", "h2")
     # replaced: all of a group are alike; put in or left out: the one whole line is alike to each of the others
     partner = F.when(F.col("i") >= 0, F.min(me).over(group)).when(F.col("w"), F.min(F.when(~F.col("w"), me)).over(group)).otherwise(F.min(F.when(F.col("w"), me)).over(group))
@@ -87,23 +87,27 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, id_col: str = "
 
     Lines are what lies between line feeds, in order of id and place. Of equal lines the earliest stays; a line also goes
     if a line that came earlier is one edit away. Lines below least_chars characters stay. Null texts stay null (0 lines),
-    empty texts are one empty line; a null id comes after all others; rows alike in id and text share one decision.
-    Extra columns stay as they are; columns n_lines and n_dropped of the input are replaced.
+    empty texts are one empty line, lines and texts of any length are read whole; a null id comes after all others; rows
+    alike in id and text share one decision. Extra columns stay as they are, whatever their names; columns n_lines and
+    n_dropped of the input are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    key = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.col(text_col))
-    slim = docs.select(key.alias("k"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), F.col(text_col).alias("text"))
+    id_of, text_of = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)), F.xxhash64(text_col)
+    # a document is its id and its text's hash: two documents are taken for one only if they have the id in common as well
+    slim = docs.select(text_of.alias("k"), id_of.alias("d"), F.col(text_col).alias("text"))
     occurrences = _occurrences(slim, least_chars)
     firsts = cut(occurrences.groupBy("h1", "h2").agg(F.min(F.struct("d", "n", "k")).alias("first"), F.count("*").alias("often")), "firsts")
     near = cut(_near(slim, occurrences, firsts).withColumn("near", F.lit(True)), "near")
     concerned = firsts.join(near, ["h1", "h2"], "left").where("often > 1 or near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     later = occurrences.select("k", "d", "n", "h1", "h2").join(concerned, ["h1", "h2"]).where(F.col("near") | (F.struct("d", "n", "k") != F.col("first")))
-    gone = cut(later.groupBy("k").agg(F.collect_set("n").alias("__gone")).withColumnRenamed("k", "__key"), "gone")
+    k, d, gone = free(docs.columns, "k", "d", "gone")
+    left_out = cut(later.groupBy(F.col("k").alias(k), F.col("d").alias(d)).agg(F.collect_set("n").alias(gone)), "gone")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    out = docs.withColumn("__key", key).join(gone, "__key", "left")
-    left = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
-    return out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn(text_col, left).drop("__key", "__gone")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    out = docs.withColumns({k: text_of, d: id_of}).join(left_out, [k, d], "left")
+    left = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    counted = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")).withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    return counted.withColumn(text_col, left).select(*(F.col(f"`{c}`") for c in docs.columns), "n_lines", "n_dropped")
 
 
 def op6_linededup(spark, sf_dir: str) -> DataFrame:
