@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodemark.llm.common import _Cleaned, cut, drop_cut, scratch, session, small_batches
+from lodemark.llm.common import _Cleaned, buckets_for, cut, drop_cut, exists, join_hot, remove, scratch, session, small_batches
 
 #: Payloads below this many bytes are never written as revisits.
 LEAST_REVISIT = 100
 #: Bytes of records, not compressed, after which a new archive begins; a record is never split.
 ARCHIVE_BYTES = 8 << 20
+#: Bytes of normalised archives that one task reads.
+READ_BYTES = 32 << 20
 LEVEL = 4
 DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n"
@@ -95,17 +97,27 @@ def _monoliths(limit: int):
     return run
 
 
-def _normalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            name, members, index, offset = hashlib.sha256(path.rpartition("/")[2].encode()).hexdigest()[:24], [], [], 0
-            for raw in records_of(content):
-                fields, _ = split_head(raw)
-                member = gzip.compress(raw, LEVEL, mtime=0)
-                index.append(json.dumps({"id": fields["warc-record-id"], "offset": offset, "length": len(member), "type": fields["warc-type"]}))
-                members.append(member)
-                offset += len(member)
-            yield pd.DataFrame({"archive": [name] * 2, "kind": ["warc", "index"], "data": [b"".join(members), "\n".join(index).encode()]})
+def _normalised(limit: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                name, part, members, index, offset = hashlib.sha256(path.rpartition("/")[2].encode()).hexdigest()[:24], 0, [], [], 0
+                for raw in records_of(content):
+                    fields, _ = split_head(raw)
+                    member = gzip.compress(raw, LEVEL, mtime=0)
+                    if offset and offset + len(member) > limit:
+                        yield _files(f"{name}-{part}", members, index)
+                        part, members, index, offset = part + 1, [], [], 0
+                    index.append(json.dumps({"id": fields["warc-record-id"], "offset": offset, "length": len(member), "type": fields["warc-type"]}))
+                    members.append(member)
+                    offset += len(member)
+                yield _files(f"{name}-{part}", members, index)
+
+    return run
+
+
+def _files(name: str, members: list[bytes], index: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({"kind": ["warc", "index"], "archive": [name] * 2, "data": [b"".join(members), "\n".join(index).encode()]})
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,38 +156,54 @@ def write_monoliths(pages: DataFrame, path: str, least_revisit: int = LEAST_REVI
     small_batches(session(pages))
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    firsts = rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    firsts = rows.where(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = cut(firsts, "firsts")
     refers = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
-    marked = rows.join(firsts, "digest", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers)
+    marked = join_hot(rows, firsts, "digest", "n", "left").select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", "digest", refers)
     _write(marked.mapInPandas(_monoliths(archive_bytes), "data binary"), path)
     drop_cut(firsts)
 
 
-def normalise(spark: SparkSession, monoliths: str, path: str) -> None:
-    """Rewrite every gzip WARC under `monoliths` as archive=<name>/kind=warc (a member for each record) and kind=index."""
-    found = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(monoliths).where("length > 0").select("path", "content")
-    _write(found.mapInPandas(_normalised, "archive string, kind string, data binary"), path, "archive", "kind")
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, found by the sidecars: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path)
-    files = files.withColumn("archive", F.regexp_extract("path", "archive=([^/]+)/", 1))
-    warc = files.where(F.col("path").contains("/kind=warc/")).select("archive", "content")
-    index = files.where(F.col("path").contains("/kind=index/")).select("archive", F.col("content").alias("sidecar"))
-    return warc.join(index, "archive").select("content", "sidecar").mapInPandas(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+def normalise(spark: SparkSession, monoliths: str, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Rewrite every gzip WARC under `monoliths` as kind=warc/archive=<name> (a member for each record) and kind=index.
+
+    A monolith is inflated piece by piece, and a new archive begins after archive_bytes of members, so what a task holds
+    is one monolith as it lies there (Spark reads a file as one value: 2 GB at most) and one archive.
+    """
+    found = _binary(spark, monoliths).where("length > 0").select("path", "content")
+    _write(found.mapInPandas(_normalised(archive_bytes), "kind string, archive string, data binary"), path, "kind", "archive")
+
+
+def read_archives(spark: SparkSession, path: str, read_bytes: int = READ_BYTES) -> DataFrame:
+    """One row per record, found by the sidecars: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Archives meet their sidecars in as many partitions as read_bytes of them make; a folder without archives has no rows.
+    """
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    if not exists(spark, f"{path}/kind=warc"):
+        return spark.createDataFrame([], schema)
+    named = lambda kind: _binary(spark, f"{path}/kind={kind}").withColumn("archive", F.regexp_extract("path", "archive=([^/]+)/", 1))
+    warc, index = named("warc"), named("index").select("archive", F.col("content").alias("sidecar"))
+    parts = buckets_for(warc.agg(F.sum("length")).first()[0] or 0, read_bytes)
+    both = warc.select("archive", "content").repartition(parts, "archive").join(index.repartition(parts, "archive"), "archive")
+    return both.select("content", "sidecar").mapInPandas(_read, schema)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write pages to monolithic archives, normalise those, and read the result back: one row per page.
 
-    An empty table gives an empty one; columns other than page_id, url and html are not looked at.
+    Payloads of any length come back whole; of rows with one page_id each is a record. An empty table gives an empty one;
+    columns other than page_id, url and html are not looked at.
     """
     spark = session(pages)
     one, many = scratch(spark, "monoliths"), scratch(spark, "archives")
     write_monoliths(pages, one, archive_bytes=archive_bytes)
-    normalise(spark, one, many)
+    normalise(spark, one, many, archive_bytes)
+    remove(spark, one)
     return read_archives(spark, many)
 
 
