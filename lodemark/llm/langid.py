@@ -10,9 +10,11 @@ multiplied up side by side, so a long text costs what as many words in short one
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,20 +31,47 @@ ROUNDS = 25
 CACHE = 200_000
 STEP = 128
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of a piece of a word: runs without white space, as Chinese and Thai have them, are read piece by piece.
+PIECE = 40
+
+
+def _class(wanted) -> str:
+    """The inside of a character class of all code points that are wanted; between these planes none is assigned."""
+    out, begin = [], None
+    for c in chain(range(0x34000), range(0xE0000, 0xE0200)):
+        if wanted(chr(c)):
+            begin = c if begin is None else begin
+        elif begin is not None:
+            out.append(f"\\U{begin:08x}-\\U{c - 1:08x}")
+            begin = None
+    return "".join(out)
+
+
+#: Word characters that are neither letters nor decimal digits, such as fractions, and marks that combine with letters.
+NUMERALS, MARKS = _class(lambda c: c.isalnum() and not c.isalpha() and not c.isdecimal()), _class(lambda c: unicodedata.category(c)[0] == "M")
+RARE = re.compile(f"[{NUMERALS}{MARKS}]")
+#: A letter and what follows of letters and marks; in texts without rare characters a shorter pattern finds the same.
+WORD = re.compile(rf"[^\W\d_{NUMERALS}](?:[^\W\d_{NUMERALS}]|[{MARKS}]){{0,{PIECE - 1}}}")
+PLAIN = re.compile(rf"[^\W\d_]{{1,{PIECE}}}")
+
+
+def pattern_for(text: str) -> re.Pattern:
+    return WORD if RARE.search(text) else PLAIN
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    """The words of a text, lower case; a longer one in pieces of PIECE characters."""
+    text = (text or "").lower()
+    return pattern_for(text).findall(text)
 
 
 def features_of(word: str) -> list[str]:
     """Prefixes and suffixes of one to three letters, trigrams, and the word."""
-    w, n = word[:40], min(len(word), 40)
-    found = [f"={w}"]
+    n = len(word)
+    found = [f"={word}"]
     for k in range(1, min(n, 3) + 1):
-        found += (f"^{w[:k]}", f"{w[-k:]}$")
-    return found + [w[i : i + 3] for i in range(n - 2)]
+        found += (f"^{word[:k]}", f"{word[-k:]}$")
+    return found + [word[i : i + 3] for i in range(n - 2)]
 
 
 def posteriors(emit: np.ndarray, trans: np.ndarray, begin: np.ndarray, first: np.ndarray, step: int = STEP, pairs: bool = False):
@@ -158,7 +187,7 @@ class Model:
         mark = self.marker()
 
         def label(texts: list[str | None]) -> list[list[tuple[int, int, str, float]]]:
-            places = [[m.span() for m in WORD.finditer(t or "")] for t in texts]
+            places = [[m.span() for m in pattern_for(t or "").finditer(t or "")] for t in texts]
             found = mark([[t[a:b].lower() for a, b in p] for t, p in zip(texts, places)])
             out, at = [], 0
             for p in places:
@@ -243,8 +272,9 @@ def learn(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
 def predict_language(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, lang_pred, score (the share of words in that language).
 
-    Texts that are null or have no letters get `und` and score 0. Of languages with equal shares the first by name wins.
-    Null and repeated ids pass through; an empty table gives an empty one; extra columns are not looked at.
+    Texts that are null or have no letters (numerals such as fractions are none) get `und` and score 0; texts and words
+    of any length are read whole. Of languages with equal shares the first by name wins. Null and repeated ids pass
+    through; an empty table gives an empty one, a model of no texts `und`; extra columns are not looked at.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
