@@ -45,24 +45,31 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """text -> token ids, without special tokens; strings of special tokens are ordinary text.
+    """text -> token ids as the tokenizers library gives them with add_special_tokens=False.
 
-    A plain byte-level BPE (ids in order of their merges) runs as the same ranks in a faster library; any other file
-    through the tokenizers library itself.
+    Strings of added tokens in a text are those tokens. A plain byte-level BPE (ids in order of their merges, added tokens
+    taken as they stand) runs as the same ranks in a faster library; any other file through the tokenizers library itself.
     """
     with open(path, encoding="utf-8") as f:
         model = json.load(f)
-    before = model.get("pre_tokenizer") or {}
-    if model["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not model.get("normalizer"):
+    before, added = model.get("pre_tokenizer") or {}, model.get("added_tokens", [])
+    as_they_stand = not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
+    if model["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True) and not model.get("normalizer") and as_they_stand:
         import tiktoken
 
-        byte_of, special = _byte_of(), {t["content"] for t in model.get("added_tokens", [])}
+        byte_of, special = _byte_of(), {t["content"]: t["id"] for t in added}
         ranks = {bytes(byte_of[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-        return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+        def encode(text: str) -> list[int]:
+            if any(t in text for t in special):
+                return encoding.encode(text, allowed_special="all")
+            return encoding.encode_ordinary(text)
+
+        return encode
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
