@@ -4,7 +4,8 @@ A unit vector is coded as the sum of one full-dimensional codeword from each of
 k-means of the residuals left by those before and are then fitted to each other by least squares; codes are found by beam
 search. The index keeps a vector's codes and the stored norm of its approximation, so a query scores every vector by adding
 up looked-up dot products. The best are scored again on the original vectors, in double precision.
-Equal vectors are one entry of the index and keep the few smallest ids that any answer can need, so copies crowd out nothing.
+Vectors of one direction (to twelve digits) are one entry of the index and keep the few smallest ids that any answer can
+need, so neither copies nor multiples of a vector crowd out anything.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodemark.llm.common import buckets_for, cut, hashed_sample, session
+from lodemark.llm.common import buckets_for, cut, drop_cut, hashed_sample, session
 
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: About so many vectors fit the codebooks: those with the smallest hashes.
@@ -27,6 +28,8 @@ FIT_ROWS = 32_768
 RERANK = 320
 #: Queries that are broadcast at once (float32: 1 MB at 64 dimensions), and codes that a task scans.
 QUERY_BLOCK, SCAN_ROWS = 4096, 65_536
+#: Digits to which directions and scores are told apart.
+DIGITS = 12
 
 
 @dataclass
@@ -100,8 +103,14 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 2
     return out
 
 
-def _unit(column) -> np.ndarray:
+def _scaled(column) -> np.ndarray:
+    """Vectors as doubles, each divided by a power of two that brings its largest component near 1: nothing else changes."""
     x = np.stack([np.asarray(v, np.float64) for v in column])
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(column) -> np.ndarray:
+    x = _scaled(column)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -109,7 +118,7 @@ def _encoder(books):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                codes = books.value.encode(_unit(pdf["embedding"]).astype(np.float32))
+                codes = books.value.encode(_unit(pdf["unit"]).astype(np.float32))
                 near = books.value.decode(codes)
                 yield pd.DataFrame({"c": pdf["c"], "codes": [r.tobytes() for r in codes], "norm": (near * near).sum(axis=1)})
 
@@ -148,14 +157,15 @@ def _scanner(books, queries, rerank: int):
 
 def _reranker(queries):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        raw = queries.value[2]
+        ids, _, raw, own = queries.value
         length = np.sqrt((raw * raw).sum(axis=1))
         for pdf in batches:
+            pdf = pdf[own[pdf["q"].to_numpy(np.int64)] != pdf["row"].to_numpy(np.int64)]
             if len(pdf):
-                x = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])
+                x = _scaled(pdf["embedding"])
                 q = pdf["q"].to_numpy(np.int64)
                 score = (raw[q] * x).sum(axis=1) / (length[q] * np.sqrt((x * x).sum(axis=1)))
-                yield pd.DataFrame({"query_id": queries.value[0][q], "ids": pdf["ids"], "score": score})
+                yield pd.DataFrame({"q": q, "query_id": ids[q], "vec_id": pdf["vec_id"], "row": pdf["row"], "score": score})
 
     return run
 
@@ -168,42 +178,55 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.where(F.size("embedding") == (size["d"] if size else 0))
 
 
+def direction(v: Column) -> Column:
+    """The unit vector, to DIGITS digits; scaled before it is squared, so tiny and huge components count as well."""
+    top = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))
+    scaled = F.transform(v, lambda x: x / top)
+    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(scaled, lambda x: F.round(x / norm, DIGITS) + F.lit(0.0))
+
+
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The k nearest found of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score (cosine).
 
-    Rows with a null id, a null, zero or non-finite vector, or another dimension than most take no part. Ties go to the
-    smaller vec_id. Rows repeated whole count once; of two rows with one id, neither is a neighbour of the other. An
-    empty table gives an empty one; extra columns are not looked at. Queries run in blocks of about QUERY_BLOCK, each
-    broadcast and scanned against the whole index, each block's answers written.
+    Rows with a null id, a null, zero or non-finite vector, or another dimension than most take no part; finite components
+    of any size count. Scores equal to DIGITS digits are ties and go to the smaller vec_id, so multiples of a vector come
+    in order of their ids. Every row is a candidate of all others: a row repeated, or of the same id, too. An empty table
+    gives an empty one; extra columns are not looked at. Queries run in blocks of about QUERY_BLOCK, each broadcast and
+    scanned against the whole index, each block's answers written.
     """
     spark = session(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = cut(valid(vectors).distinct(), "vectors")
-    # k and the query's own: no answer needs more ids of one vector
-    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    entries = cut(few.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).select(F.monotonically_increasing_id().alias("c"), "embedding", "ids"), "entries")
+    # written, so that a row's number never changes again
+    rows = cut(valid(vectors).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", direction(F.col("embedding")).alias("unit")), "vectors")
+    # k and the query's own: no answer needs more rows of one direction
+    few = rows.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy("vec_id", "row"))).where(F.col("r") <= k + 1)
+    members = F.collect_list(F.struct("vec_id", "row", "embedding"))
+    entries = cut(few.groupBy("unit").agg(members.alias("members")).select(F.monotonically_increasing_id().alias("c"), "unit", "members"), "entries")
     n = entries.count()
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = buckets_for(asked.count(), QUERY_BLOCK)
     if not n:
         return spark.createDataFrame([], schema)
-    sample = hashed_sample(entries.select("c", "embedding", F.xxhash64("embedding").alias("h")), "h", n, fit_rows).toPandas().sort_values(["h", "c"])
-    books = spark.sparkContext.broadcast(train(_unit(sample["embedding"])))
+    sample = hashed_sample(entries.select("c", "unit", F.xxhash64("unit").alias("h")), "h", n, fit_rows).toPandas().sort_values(["h", "c"])
+    books = spark.sparkContext.broadcast(train(_unit(sample["unit"])))
     parts = buckets_for(n, SCAN_ROWS)
-    index = cut(entries.select("c", "embedding").mapInPandas(_encoder(books), "c long, codes binary, norm float").repartition(parts, "c"), "index")
+    index = cut(entries.select("c", "unit").mapInPandas(_encoder(books), "c long, codes binary, norm float").repartition(parts, "c"), "index")
     found = []
     for b in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toPandas()
+        block = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).orderBy("vec_id", "row").toPandas()
         if not len(block):
             continue
-        raw = np.stack([np.asarray(v, np.float64) for v in block["embedding"]])
-        queries = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _unit(block["embedding"]).astype(np.float32), raw))
+        queries = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _unit(block["embedding"]).astype(np.float32), _scaled(block["embedding"]), block["row"].to_numpy(np.int64)))
         near = index.mapInPandas(_scanner(books, queries, rerank), "q long, c long, s double")
         best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("r") <= rerank).select("q", "c")
-        scored = best.join(entries, "c").select("q", "embedding", "ids").mapInPandas(_reranker(queries), "query_id long, ids array<long>, score double")
-        each = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").where("query_id <> vec_id")
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        found.append(cut(each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours"))
+        each = best.join(entries, "c").select("q", F.explode("members").alias("m")).select("q", "m.*")
+        scored = each.mapInPandas(_reranker(queries), "q long, query_id long, vec_id long, row long, score double")
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", DIGITS).desc(), "vec_id", "row"))
+        found.append(cut(scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "neighbours"))
+        queries.destroy()
+    for table in (rows, entries, index):
+        drop_cut(table)
     out = found[0] if found else spark.createDataFrame([], schema)
     for f in found[1:]:
         out = out.union(f)
