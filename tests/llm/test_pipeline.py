@@ -38,13 +38,7 @@ def alike(a, b):
 
 
 def plain_quality(docs):
-    marks = []
-    for _, t in docs:
-        words = (t or "").split()
-        pattern = 0
-        for v in quality.votes(t or "", words):
-            pattern = pattern * 3 + v
-        marks.append((pattern, *quality.features(words)))
+    marks = [quality.mark(t) for _, t in docs]
     posterior = quality.expectation_maximisation(Counter(m[0] for m in marks))[2]
     w = quality.fit_scorer([(b, s, posterior[p]) for p, b, s in marks if b])
     return [d for d, (_, b, s) in zip(docs, marks) if quality.score(b, s, w) >= 0.5]
@@ -71,12 +65,15 @@ def plain_lines(docs):
 
 
 def plain_copies(docs):
-    fps = np.array([simhash.fingerprint(t) for _, t in docs], np.uint64)
+    """Every pair by its estimated similarity; of each group the smallest id, of those the smallest text hash (not looked at)."""
+    fps = [simhash.wide_fingerprint(t) for _, t in docs]
     label = list(range(len(docs)))
-    for i in range(len(docs)):
-        for j in np.nonzero(np.bitwise_count(fps ^ fps[i]) <= 2)[0]:
-            old, new = max(label[i], label[j]), min(label[i], label[j])
-            label = [new if x == old else x for x in label]
+    for i, (n, x) in enumerate(fps):
+        for j, (m, y) in enumerate(fps[:i]):
+            differ = np.bitwise_count(x ^ y)
+            if (n == m and not differ.any()) or (min(n, m) >= 0.8 * max(n, m) and differ[0] <= 24 and differ.sum() <= simhash.allowed_bits(np.array([n]), np.array([m]), 0.8, 512)[0]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if v == old else v for v in label]
     groups: dict = {}
     for g, (d, t) in zip(label, docs):
         groups.setdefault(g, []).append((d is None, d or 0, t or ""))
