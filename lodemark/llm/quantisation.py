@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -178,12 +178,11 @@ def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return rows.where(F.size("embedding") == (size["d"] if size else 0))
 
 
-def direction(v: Column) -> Column:
-    """The unit vector, to DIGITS digits; scaled before it is squared, so tiny and huge components count as well."""
-    top = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))
-    scaled = F.transform(v, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(scaled, lambda x: F.round(x / norm, DIGITS) + F.lit(0.0))
+def _with_unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        if len(pdf):
+            # no negative zeros: directions are compared
+            yield pdf.assign(unit=list(np.round(_unit(pdf["embedding"]), DIGITS) + 0.0))
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -198,7 +197,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERAN
     spark = session(vectors)
     schema = "query_id long, rank int, vec_id long, score double"
     # written, so that a row's number never changes again
-    rows = cut(valid(vectors).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding", direction(F.col("embedding")).alias("unit")), "vectors")
+    numbered = valid(vectors).select(F.monotonically_increasing_id().alias("row"), "vec_id", "embedding")
+    rows = cut(numbered.mapInPandas(_with_unit, "row long, vec_id long, embedding array<double>, unit array<double>"), "vectors")
     # k and the query's own: no answer needs more rows of one direction
     few = rows.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy("vec_id", "row"))).where(F.col("r") <= k + 1)
     members = F.collect_list(F.struct("vec_id", "row", "embedding"))
