@@ -47,18 +47,35 @@ def gray(pixels: np.ndarray) -> np.ndarray:
     return (pixels.astype(np.int64) @ np.array([19595, 38470, 7471]) + 32768) >> 16
 
 
-def dhash64(pixels: np.ndarray, size: int = 8) -> str:
-    """Difference hash: the image gray and averaged down to size rows of size + 1; a bit says that the right one is lighter."""
-    g = gray(pixels).astype(float)
+def _lanczos(n: int, m: int) -> np.ndarray:
+    """Whole-number weights (m, n), in units of 2^-22, that resample n samples to m by a Lanczos window of three lobes."""
+    scale = n / m
+    wide = max(scale, 1.0)
+    out = np.zeros((m, n), np.int64)
+    for i in range(m):
+        centre = (i + 0.5) * scale
+        low, high = max(0, int(centre - 3 * wide + 0.5)), min(n, int(centre + 3 * wide + 0.5))
+        x = (np.arange(low, high) + 0.5 - centre) / wide
+        w = np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+        w = w / w.sum() * (1 << 22)
+        out[i, low:high] = np.trunc(w + np.copysign(0.5, w))
+    return out
+
+
+def _resampled(x: np.ndarray, n: int) -> np.ndarray:
+    """The columns of an image of bytes resampled to n, rounded and kept within a byte."""
+    if x.shape[1] == n:
+        return x
+    return np.clip((x @ _lanczos(x.shape[1], n).T + (1 << 21)) >> 22, 0, 255)
+
 
-    def shrink(x: np.ndarray, n: int) -> np.ndarray:
-        edges = np.linspace(0, len(x), n + 1)
-        total = np.concatenate((np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)))
-        low = np.minimum(edges.astype(int), len(x) - 1)
-        at = total[low] + (edges - low)[:, None] * x[low]
-        return np.diff(at, axis=0) / np.diff(edges)[:, None]
+def dhash64(pixels: np.ndarray, size: int = 8) -> str:
+    """Difference hash: the image gray and resampled to size rows of size + 1; a bit says that the right one is lighter.
 
-    small = np.rint(shrink(shrink(g, size).T, size + 1).T)
+    Gray and the resampling (columns, then rows, each rounded to bytes) are done in the whole numbers that common image
+    libraries use, so equal pixels give equal bits.
+    """
+    small = _resampled(_resampled(gray(pixels), size + 1).T, size).T
     bits = (small[:, 1:] > small[:, :-1]).ravel()
     return f"{int(''.join('1' if b else '0' for b in bits), 2):0{size * size // 4}x}"
 

@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 #: White space as str.split() and str.strip() see it.
 SPACE = r"(?U)[\s\x1c-\x1f]"
-#: Neither letters, digits, underscore nor white space.
-PUNCTUATION = r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]"
+#: Runs of what is neither letter, digit nor underscore: punctuation and white space.
+BETWEEN = r"[^\p{L}\p{N}_]+"
 
 
 def strip(c: Column) -> Column:
@@ -32,7 +32,8 @@ def nfkc(c: Column) -> Column:
     def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
-    return composed(c)
+    # texts of ASCII alone are composed as they stand, and never leave the JVM
+    return F.when(c.rlike(r"[^\x00-\x7f]"), composed(F.when(c.rlike(r"[^\x00-\x7f]"), c))).otherwise(c)
 
 
 def normalize_caption(c: Column, compose: bool = False) -> Column:
@@ -42,7 +43,7 @@ def normalize_caption(c: Column, compose: bool = False) -> Column:
     """
     c = F.coalesce(c, F.lit(""))
     c = nfkc(c) if compose else c
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(strip(c)), PUNCTUATION, " "), SPACE + "+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), BETWEEN, " "))
 
 
 def token_set(normalized: Column) -> Column:

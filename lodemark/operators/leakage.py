@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from lodemark.functions.hashing import hamming64, hex_to_long
 from lodemark.functions.text import normalize_caption
 
 
+#: Bits of a band at least, partners of a band value in a task, and fingerprints of a tile (64 kB).
+BAND_BITS, BAND_ROWS, TILE = 8, 10_000, 8192
+
+
 def _ordered(value: Column) -> Column:
     """A group's ids in manifest order; an id comes as often as the value does."""
     return F.transform(F.array_sort(F.collect_list(F.struct("ordinal", value.alias("id")))), lambda s: s["id"])
@@ -24,32 +30,65 @@ def hard_matches(a: DataFrame, kb: DataFrame) -> DataFrame:
     return a.where(F.col("sha256") != "").join(held, "sha256").select("image_id", "split", "kb_image_ids", "sha256")
 
 
+def _banded(left: DataFrame, right: DataFrame, threshold: int, bits: int) -> DataFrame:
+    """Pairs (_x, _y) that agree on one of threshold + 1 bands at least, each once: in the first band it agrees on.
+
+    A band value's partners are dealt over as many salts as leave about BAND_ROWS of the right side in each.
+    """
+    bands = threshold + 1
+    edges = [bits * k // bands for k in range(bands + 1)]
+    mask = lambda k: -1 if edges[k + 1] - edges[k] == 64 else (1 << (edges[k + 1] - edges[k])) - 1
+    salts = max(1, -(-right.count() // ((1 << bits // bands) * BAND_ROWS)))
+    cut = lambda c: F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit(mask(k))).alias("v")) for k in range(bands)))
+    x = left.select("_x", F.explode(cut(F.col("_x"))).alias("e")).select("_x", "e.k", "e.v", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("s"))
+    y = right.select("_y", F.explode(cut(F.col("_y"))).alias("e"), F.pmod(F.xxhash64("_y"), F.lit(salts)).cast("int").alias("s")).select("_y", "e.k", "e.v", "s")
+    differs = F.col("_x").bitwiseXOR(F.col("_y"))
+    earlier = F.lit(False)
+    for k in range(bands):
+        agrees = F.shiftrightunsigned(differs, edges[k]).bitwiseAND(F.lit(mask(k))) == 0
+        earlier = earlier | (agrees & (F.col("k") > k))
+    return x.join(y, ["k", "v", "s"]).where((hamming64(F.col("_x"), F.col("_y")) <= threshold) & ~earlier).select("_x", "_y")
+
+
+def _tiled(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (_x, _y) by comparing tiles of TILE fingerprints of one bit count, where bit counts allow it.
+
+    A pair of tiles is one row of packed numbers and one exclusive-or in numpy; only near pairs come out.
+    """
+
+    def tiles(rows: DataFrame, c: str) -> tuple[DataFrame, DataFrame]:
+        rows = rows.select(F.col(c), F.bit_count(c).cast("int").alias("t"))
+        # a row for each bit count: 65 at most
+        sizes = rows.groupBy("t").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n"))
+        dealt = rows.join(F.broadcast(sizes), "t").withColumn("p", F.pmod(F.xxhash64(c), F.col("n")).cast("int"))
+        return dealt.groupBy("t", "p").agg(F.collect_list(c).alias(c)), sizes
+
+    def near(batches):
+        for pdf in batches:
+            for a, b in zip(pdf["_x"], pdf["_y"]):
+                a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+                for at in range(0, len(a), 256):
+                    i, j = np.nonzero(np.bitwise_count(a[at : at + 256, None].view(np.uint64) ^ b[None, :].view(np.uint64)) <= threshold)
+                    yield pd.DataFrame({"_x": a[i + at], "_y": b[j]})
+
+    (x, _), (y, sizes) = tiles(left, "_x"), tiles(right, "_y")
+    other = x.select("_x", F.explode(F.sequence(F.greatest(F.col("t") - threshold, F.lit(0)), F.col("t") + threshold)).alias("t"))
+    other = other.join(F.broadcast(sizes), "t").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return other.join(y, ["t", "p"]).select("_x", "_y").mapInPandas(near, "_x long, _y long")
+
+
 def hamming_join(a: DataFrame, b: DataFrame, threshold: int, a_hash: str = "ha", b_hash: str = "hb", bits: int = 64) -> DataFrame:
     """All pairs of a and b whose long fingerprints differ in threshold bits at most, with column hamming.
 
-    Pigeonhole: two such fingerprints agree on one of threshold + 1 bands at least, so pairs are found by equal bands
-    and a pair counts in the first band it agrees on. Distinct fingerprints are joined and rows put back after, so copies
-    don't multiply candidates. Null fingerprints match nothing. From a quarter of the bits on bands no longer tell, and
-    every pair of distinct fingerprints is compared.
+    Pigeonhole: two such fingerprints agree on one of threshold + 1 bands at least, so pairs are found by equal bands. Bands
+    too narrow to tell fingerprints apart (below BAND_BITS) give way to tiles, compared in numpy. Both lose no pair.
+    Distinct fingerprints are joined and rows put back after, so copies don't multiply candidates. Null fingerprints match
+    nothing.
     """
     left = a.where(F.col(a_hash).isNotNull()).select(F.col(a_hash).alias("_x")).distinct()
     right = b.where(F.col(b_hash).isNotNull()).select(F.col(b_hash).alias("_y")).distinct()
-    near = hamming64(F.col("_x"), F.col("_y"))
-    if threshold >= bits // 4:
-        pairs = left.join(right, near <= threshold)
-    else:
-        bands = threshold + 1
-        edges = [bits * k // bands for k in range(bands + 1)]
-        cut = lambda c: F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(c, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("v")) for k in range(bands)))
-        x = left.select("_x", F.explode(cut(F.col("_x"))).alias("e")).select("_x", "e.k", "e.v")
-        y = right.select("_y", F.explode(cut(F.col("_y"))).alias("e")).select("_y", "e.k", "e.v")
-        differs = F.col("_x").bitwiseXOR(F.col("_y"))
-        earlier = F.lit(False)
-        for k in range(bands):
-            agrees = F.shiftrightunsigned(differs, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)) == 0
-            earlier = earlier | (agrees & (F.col("k") > k))
-        pairs = x.join(y, ["k", "v"]).where((near <= threshold) & ~earlier).select("_x", "_y")
-    pairs = pairs.select("_x", "_y", near.alias("hamming"))
+    pairs = _banded(left, right, threshold, bits) if bits // (threshold + 1) >= BAND_BITS else _tiled(left, right, threshold)
+    pairs = pairs.select("_x", "_y", hamming64(F.col("_x"), F.col("_y")).alias("hamming"))
     return a.join(pairs, F.col(a_hash) == F.col("_x")).join(b, F.col(b_hash) == F.col("_y")).drop("_x", "_y")
 
 
@@ -79,7 +118,9 @@ def caption_overlap(a: DataFrame, kb: DataFrame, normalized: bool = False, shown
     def index(rows: DataFrame, ids: str) -> DataFrame:
         texts = captions_of(rows)
         if normalized:
-            texts = texts.withColumn(name, normalize_caption(F.col("caption"), compose)).where(F.col(name) != "")
+            # each text is normalised once, however many rows have it
+            known = texts.select("caption").distinct().withColumn(name, normalize_caption(F.col("caption"), compose)).where(F.col(name) != "")
+            texts = texts.join(known, "caption")
         return texts.groupBy(name).agg(F.slice(_ordered(F.col("image_id")), 1, shown).alias(ids))
 
     return index(a, "image_ids").join(index(kb, "kb_image_ids"), name)

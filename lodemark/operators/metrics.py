@@ -27,10 +27,13 @@ def unique_source_ratio(hits: DataFrame, ks: list[int]) -> DataFrame:
 
 def caption_distance(hits: DataFrame, ks: list[int], compose: bool = False) -> DataFrame:
     """By k: the mean over queries of the mean token Jaccard distance of all pairs of k captions; null at 1."""
-    tokens = hits.select("query_id", "rank", token_set(normalize_caption(F.col("caption"), compose)).alias("t"))
-    pairs = tokens.alias("a").join(tokens.alias("b"), (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.rank") < F.col("b.rank")))
-    pairs = pairs.select(F.col("a.query_id").alias("query_id"), F.col("b.rank").alias("rank"), jaccard_distance(F.col("a.t"), F.col("b.t")).alias("d"))
-    per = _by_k(pairs, ks).groupBy("query_id", "k").agg(F.avg("d").alias("d"))
+    hit = F.struct("rank", token_set(normalize_caption(F.col("caption"), compose)).alias("t"))
+    # at most as many hits as the largest k, so a query's pairs are made inside its row
+    lists = hits.where(F.col("rank") <= max(ks)).groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("h"))
+    later = lambda x: F.transform(F.filter("h", lambda y: y["rank"] < x["rank"]), lambda y: F.struct(x["rank"].alias("rank"), jaccard_distance(x["t"], y["t"]).alias("d")))
+    pairs = lists.select(F.flatten(F.transform("h", later)).alias("p")).select("p", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    near = F.transform(F.filter("p", lambda x: x["rank"] <= F.col("k")), lambda x: x["d"])
+    per = pairs.select("k", near.alias("d")).where(F.size("d") > 0).select("k", (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("d"))
     found = per.groupBy("k").agg(F.avg("d").alias("mean_caption_distance"))
     every = hits.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ks))).alias("k"))
     return every.join(found, "k", "left")

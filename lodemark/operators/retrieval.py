@@ -15,8 +15,8 @@ from lodemark.functions.text import caption_id
 from lodemark.operators.leakage import hamming_join
 from lodemark.operators.ordering import BUCKET_ROWS, prefix_sum
 
-#: Bytes of knowledge-base vectors that one broadcast may hold; more are searched block after block.
-BLOCK_BYTES = 64 << 20
+#: Bytes of knowledge-base vectors that are one block, which is also what may be broadcast.
+BLOCK_BYTES = 32 << 20
 
 
 def norm(v: Column) -> Column:
@@ -49,22 +49,49 @@ def _unit(column) -> np.ndarray:
     return x / length
 
 
-def _search(block, k: int, batch: int):
+def _packed(rows: DataFrame, key: str, rows_per_block: int, ids: str, data: str) -> DataFrame:
+    """rows (key, embedding) as blocks of unit vectors: ids (array) and data (their doubles). No shuffle: a task packs what it has."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for pdf in batches:
+            held.append(pdf)
+            while sum(map(len, held)) >= rows_per_block:
+                every = pd.concat(held)
+                yield one(every.iloc[:rows_per_block])
+                held = [every.iloc[rows_per_block:]]
+        every = pd.concat(held) if held else []
+        if len(every):
+            yield one(every)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({ids: [pdf[key].tolist()], data: [_unit(pdf["embedding"]).tobytes()]})
+
+    return rows.select(key, "embedding").mapInPandas(run, f"{ids} array<{kind}>, {data} binary")
+
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores of each row: those above the k-th, and of those equal to it the smallest ids."""
+    most = min(k, s.shape[1])
+    edge = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most, None]
+    rows = []
+    for i in range(len(s)):
+        near = np.nonzero(s[i] >= edge[i])[0]
+        rows.append(near[np.lexsort((ids[near], -s[i][near]))][:most])
+    return np.stack(rows)
+
+
+def _multiply(k: int, batch: int, dimensions: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, matrix = block.value
-        most = min(k, len(ids))
         for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                s = _unit(part["embedding"]) @ matrix.T
-                # those above the k-th score, and of those equal to it the first
-                edge = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most, None]
-                rows = []
-                for i in range(len(s)):
-                    near = np.nonzero(s[i] >= edge[i])[0]
-                    rows.append(near[np.lexsort((ids[near], -s[i][near]))][:most])
-                top = np.stack(rows)
-                yield pd.DataFrame({"query_id": np.repeat(part["query_id"].to_numpy(), most), "kb_ordinal": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
+            for qs, q, ks, m in zip(pdf["q_ids"], pdf["q_data"], pdf["k_ids"], pdf["k_data"]):
+                qs, ids = np.asarray(qs), np.asarray(ks, np.int64)
+                left, right = np.frombuffer(q).reshape(-1, dimensions), np.frombuffer(m).reshape(-1, dimensions)
+                for at in range(0, len(qs), batch):
+                    s = left[at : at + batch] @ right.T
+                    top = _best(s, ids, k)
+                    yield pd.DataFrame({"query_id": np.repeat(qs[at : at + batch], top.shape[1]), "kb_ordinal": ids[top].ravel(), "similarity": np.take_along_axis(s, top, 1).ravel()})
 
     return run
 
@@ -72,29 +99,26 @@ def _search(block, k: int, batch: int):
 def exact_topk(queries: DataFrame, kb: DataFrame, k: int, batch: int = 128, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The k captions of largest cosine for each query: query_id, rank, kb_ordinal, similarity; ties to the smaller ordinal.
 
-    queries has query_id and embedding, kb kb_ordinal and embedding. The knowledge base is cut into blocks of at most
-    block_bytes; each is broadcast once and multiplied with all queries in numpy, and only k hits of a query and block are
-    shuffled. The result doesn't depend on block, batch or partitions. An error unless 1 <= k <= rows of kb.
+    queries has query_id and embedding, kb kb_ordinal and embedding. Both are packed into blocks of vectors where they lie;
+    block meets block by number and is multiplied in numpy, and only k hits of a query and block are shuffled. A knowledge
+    base that fits one block (its size is counted first) is broadcast to the queries' tasks. Nothing comes to the driver
+    but counts. The result doesn't depend on block, batch or partitions. An error unless 1 <= k <= rows of kb.
     """
-    spark = queries.sparkSession
     size = kb.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("e")).first()
     if not 1 <= k <= size["n"]:
         raise ValueError(f"k is {k}; the knowledge base has {size['n']} rows")
     if size["d"] != size["e"]:
         raise ValueError("vectors of the knowledge base differ in dimension")
-    blocks = -(-size["n"] * size["d"] * 8 // block_bytes)
+    d = size["d"]
     key = queries.schema["query_id"].dataType.simpleString()
-    found = None
-    for b in range(blocks):
-        part = kb.where(F.pmod(F.xxhash64("kb_ordinal"), F.lit(blocks)) == b) if blocks > 1 else kb
-        rows = part.select("kb_ordinal", "embedding").toPandas()
-        if not len(rows):
-            continue
-        block = spark.sparkContext.broadcast((rows["kb_ordinal"].to_numpy(np.int64), _unit(rows["embedding"])))
-        hits = queries.select("query_id", "embedding").mapInPandas(_search(block, k, batch), f"query_id {key}, kb_ordinal long, similarity double")
-        found = hits if found is None else found.union(hits)
+    numbers = max(1, -(-size["n"] * d * 8 // block_bytes))
+    # blocks of captions lie under a number; blocks of queries are sent to every number, or a single one to them
+    blocks = _packed(kb, "kb_ordinal", max(1, block_bytes // (8 * d)), "k_ids", "k_data").withColumn("b", F.pmod(F.xxhash64("k_ids"), F.lit(numbers)).cast("int"))
+    asked = _packed(queries, "query_id", max(batch, 1024), "q_ids", "q_data").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(numbers - 1))))
+    both = asked.join(F.broadcast(blocks) if numbers == 1 else blocks, "b")
+    hits = both.select("q_ids", "q_data", "k_ids", "k_data").mapInPandas(_multiply(k, batch, d), f"query_id {key}, kb_ordinal long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "kb_ordinal"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "kb_ordinal", "similarity")
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "kb_ordinal", "similarity")
 
 
 def near_pairs(queries: DataFrame, captions: DataFrame, threshold: int = 5) -> DataFrame:

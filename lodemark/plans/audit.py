@@ -16,7 +16,7 @@ from lodemark.operators.sampling import smoke_sample
 from lodemark.schema import to_manifest, validation
 from lodemark.sources import sinks
 from lodemark.sources.annotations import alias_table, apply_splits, official_splits, parse_annotations, with_captions, with_sidecars
-from lodemark.sources.files import find_first, first_root, inspect, read_text, scan_images
+from lodemark.sources.files import exists, find_first, first_root, inspect, read_text, scan_images
 
 
 def _records(rows: DataFrame, cfg: dict, side: str, role: str, class_name) -> DataFrame:
@@ -26,9 +26,18 @@ def _records(rows: DataFrame, cfg: dict, side: str, role: str, class_name) -> Da
     return rows.withColumn("schema_version", F.lit(cfg["schema_version"])).withColumn("source", F.lit(cfg[side]["source"])).withColumn("role", F.lit(role)).withColumn("image_id", F.concat(F.lit(cfg[side]["prefix"] + "::"), "relative_path"))
 
 
+def _root(spark: SparkSession, root: str, skipped: str | None = "caption") -> str:
+    """root, if it is there and has images below it; an error else."""
+    if not exists(spark, root):
+        raise FileNotFoundError(f"there is no folder {root}")
+    if scan_images(spark, root, skipped=skipped, content=False).isEmpty():
+        raise FileNotFoundError(f"there are no images under {root}")
+    return root
+
+
 def load_dataset(spark: SparkSession, cfg: dict) -> DataFrame:
     """Manifest rows of dataset A, splits applied: annotations, else sidecar texts; classes from folders."""
-    root = cfg["paths"]["a_root"]
+    root = _root(spark, cfg["paths"]["a_root"], cfg["a"]["skipped_folder"])
     images = inspect(spark, scan_images(spark, root, skipped=cfg["a"]["skipped_folder"]), root)
     path = find_first(spark, root, cfg["a"]["annotations"])
     entries = parse_annotations(json.loads(read_text(spark, path))) if path else []
@@ -41,11 +50,13 @@ def load_dataset(spark: SparkSession, cfg: dict) -> DataFrame:
 
 def load_knowledge_base(spark: SparkSession, cfg: dict) -> DataFrame:
     """Manifest rows of the knowledge base; all of them are of split kb, classes are the annotation's."""
-    root = cfg["paths"]["kb_root"]
-    top = first_root(spark, root)
-    images = inspect(spark, scan_images(spark, top, skipped=None), top)
+    root = _root(spark, cfg["paths"]["kb_root"], None)
     path = find_first(spark, root, cfg["kb"]["annotations"], ("", "annotations", "anno"))
-    entries = parse_annotations(json.loads(read_text(spark, path)), knowledge_base=True) if path else []
+    if not path:
+        raise FileNotFoundError(f"no annotations under {root}; looked for {', '.join(cfg['kb']['annotations'])}")
+    top = first_root(spark, root)
+    images = inspect(spark, scan_images(spark, top, skipped=None, base=root), top)
+    entries = parse_annotations(json.loads(read_text(spark, path)), knowledge_base=True)
     rows = with_captions(images, alias_table(spark, entries, keep_empty=True), knowledge_base=True)
     return to_manifest(_records(rows, cfg, "kb", "knowledge_base", F.col("annotated_class")).withColumn("split", F.lit("kb")))
 

@@ -14,6 +14,8 @@ from lodemark.functions.text import basename, normalize_id, stem, strip
 from lodemark.sources.files import exists, read_text
 
 NAME_KEYS = ("filename", "filepath", "image", "file_name")
+#: Names of a file where images and annotations are apart, and in split files.
+FILE_KEYS = ("filename", "file_name", "filepath")
 SPLITS = ("train", "val", "test")
 
 
@@ -47,18 +49,22 @@ def parse_annotations(data, knowledge_base: bool = False) -> list[tuple[str, lis
         return [entry(x, "raw") for x in data if isinstance(x, dict)]
     if not isinstance(data, dict):
         raise ValueError("annotations are neither a list nor an object")
-    if data.get("images") and "annotations" in data:
-        names = {x["id"]: (str(_first(x, "filename", "file_name", "filepath") or ""), kind(x)) for x in data["images"] if isinstance(x, dict) and "id" in x}
-        grouped: dict = {}
+    if "images" in data and "annotations" in data:
+        files = {x["id"]: x for x in data["images"] if x.get("id") is not None and _first(x, *FILE_KEYS)}
+        grouped: dict = {k: [] for k in files} if knowledge_base else {}
         for x in data["annotations"]:
             text = str(_first(x, "caption", "raw") or "")
-            if text and x.get("image_id") in names:
+            if x.get("image_id") in files and (text or knowledge_base):
                 grouped.setdefault(x["image_id"], []).append(text)
-        return [(names[k][0], texts, names[k][1]) for k, texts in grouped.items()]
+        return [(str(_first(files[k], *FILE_KEYS)), texts, kind(files[k])) for k, texts in grouped.items()]
     images = data.get("images") or (data.get("data") if knowledge_base else None)
     if isinstance(images, list):
         return [entry(x, *(["raw"] if knowledge_base else [])) for x in images if isinstance(x, dict)]
     if knowledge_base:
+        if images:
+            raise ValueError("the images of a knowledge base's annotations are not a list")
+        return []
+    if "images" in data:
         return []
     return [(k, _texts(v, keys), "") for k, v in data.items()]
 
@@ -66,7 +72,7 @@ def parse_annotations(data, knowledge_base: bool = False) -> list[tuple[str, lis
 def alias_table(spark: SparkSession, entries: list[tuple[str, list[str], str]], keep_empty: bool = False) -> DataFrame:
     """alias, captions, class_name: each entry under its base name, stem and path, once each.
 
-    Entries that share an alias have their captions joined in order. Captions are stripped and empty ones left out; an
+    Entries that share an alias have their captions joined in order, and the class of the last that has one. Captions are stripped and empty ones left out; an
     entry without captions is left out too, unless keep_empty.
     """
     rows = spark.createDataFrame([(i, k, c, n) for i, (k, c, n) in enumerate(entries)], "i long, k string, captions array<string>, class_name string")
@@ -76,7 +82,7 @@ def alias_table(spark: SparkSession, entries: list[tuple[str, list[str], str]],
     rows = rows if keep_empty else rows.where(F.size("captions") > 0)
     grouped = rows.groupBy("alias").agg(F.array_sort(F.collect_list(F.struct("i", "captions", "class_name"))).alias("e"))
     names = F.filter(F.transform("e", lambda x: x["class_name"]), lambda c: c != "")
-    return grouped.select("alias", F.flatten(F.transform("e", lambda x: x["captions"])).alias("captions"), F.coalesce(F.get(names, F.lit(0)), F.lit("")).alias("class_name"))
+    return grouped.select("alias", F.flatten(F.transform("e", lambda x: x["captions"])).alias("captions"), F.coalesce(F.get(names, F.size(names) - 1), F.lit("")).alias("class_name"))
 
 
 def with_captions(images: DataFrame, aliases: DataFrame, knowledge_base: bool = False) -> DataFrame:
@@ -115,7 +121,8 @@ def with_sidecars(spark: SparkSession, images: DataFrame, root: str) -> DataFram
 def official_splits(spark: SparkSession, root: str) -> list[tuple[str, str]] | None:
     """(record key, split) of splits.json, else dataset.json, else {train,val,test}.txt; None if none of them says.
 
-    An empty splits.json ends the search. In dataset.json restval is val. An empty text file is an answer: no key.
+    An empty splits.json ends the search. In dataset.json, which has to be an object with a list of images, splits count in
+    any case and restval is val. Lines of a text file that begin with # are comments; an empty one is an answer: no key.
     """
     root = root.rstrip("/")
     if exists(spark, f"{root}/splits.json"):
@@ -123,18 +130,18 @@ def official_splits(spark: SparkSession, root: str) -> list[tuple[str, str]] | N
         return [(str(k), s) for s in SPLITS for k in data.get(s, [])] or None
     if exists(spark, f"{root}/dataset.json"):
         data = json.loads(read_text(spark, f"{root}/dataset.json"))
-        images = data.get("images", []) if isinstance(data, dict) else data
-        found = [(str(_first(x, *NAME_KEYS)), {"restval": "val"}.get(x["split"], x["split"])) for x in images if isinstance(x, dict) and x.get("split") and _first(x, *NAME_KEYS)]
-        if found := [(k, s) for k, s in found if s in SPLITS]:
+        images = data.get("images") if isinstance(data, dict) else None
+        named = [(_first(x, *FILE_KEYS), str(x.get("split") or "").lower()) for x in images if isinstance(x, dict)] if isinstance(images, list) else []
+        if found := [(str(k), "val" if s == "restval" else s) for k, s in named if k and s in (*SPLITS, "restval")]:
             return found
     texts = [(s, f"{root}/{s}.txt") for s in SPLITS if exists(spark, f"{root}/{s}.txt")]
-    return [(line.strip(), s) for s, path in texts for line in read_text(spark, path).splitlines() if line.strip()] if texts else None
+    return [(key, s) for s, path in texts for line in read_text(spark, path).splitlines() if (key := line.strip()) and not key.startswith("#")] if texts else None
 
 
 def apply_splits(rows: DataFrame, official: list[tuple[str, str]] | None, seed: int = 42, train: float = 0.7, val: float = 0.15, test: float = 0.15) -> DataFrame:
     """rows with their official split, by id and else by path, or else their hash split; split_is_official says which.
 
-    A key in several splits is in the last of train, val, test.
+    Of a key's splits the last one given counts.
     """
     from lodemark.functions.hashing import hash_split
 
@@ -142,7 +149,7 @@ def apply_splits(rows: DataFrame, official: list[tuple[str, str]] | None, seed:
     if official is None:
         return rows.withColumn("split", hashed).withColumn("split_is_official", F.lit(False))
     spark = rows.sparkSession
-    keys = spark.createDataFrame([(k, s, SPLITS.index(s)) for k, s in official], "k string, s string, o int").groupBy(normalize_id(F.col("k")).alias("k")).agg(F.max_by("s", "o").alias("s"))
+    keys = spark.createDataFrame([(k, s, i) for i, (k, s) in enumerate(official)], "k string, s string, o long").groupBy(normalize_id(F.col("k")).alias("k")).agg(F.max_by("s", "o").alias("s"))
     out = rows.withColumn("_i", normalize_id(F.col("image_id"))).withColumn("_r", normalize_id(F.col("relative_path")))
     out = out.join(keys.select(F.col("k").alias("_i"), F.col("s").alias("_si")), "_i", "left").join(keys.select(F.col("k").alias("_r"), F.col("s").alias("_sr")), "_r", "left")
     given = F.coalesce("_si", "_sr")

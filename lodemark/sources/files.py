@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodemark.functions.hashing import dhash_of_image
-from lodemark.operators.ordering import with_ordinal
 
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".bmp", ".webp")
 
@@ -46,21 +45,21 @@ def find_first(spark: SparkSession, root: str, candidates: list[str], folders: t
     return None
 
 
-def scan_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, skipped: str | None = "caption", content: bool = True) -> DataFrame:
-    """image_path, relative_path, file_size_bytes, content and ordinal of the images under root.
+def scan_images(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, skipped: str | None = "caption", content: bool = True, base: str | None = None) -> DataFrame:
+    """image_path, relative_path (below base, else root), file_size_bytes and content of the images under root.
 
-    Suffixes count in any case; files below a folder called `skipped` (inside root) are left out. ordinal is the place
-    by lower-cased relative path. Hidden files and folders, which Spark's readers pass over, don't count.
+    Suffixes count in any case; files below a folder called `skipped` (in any case, inside root) are left out. Hidden files
+    and folders, which Spark's readers pass over, don't count. Manifests are put in order when they are written.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = qualified(spark, root).rstrip("/")
+    above = _clean(qualified(spark, base or root)).rstrip("/")
     clean = F.regexp_replace("path", r"^(\w+):/+", "$1:/")
-    relative = F.substring(clean, F.lit(len(_clean(base)) + 2), F.length("path"))
+    relative = F.substring(clean, F.lit(len(above) + 2), F.length("path"))
     rows = files.select(F.col("path").alias("image_path"), relative.alias("relative_path"), F.col("length").alias("file_size_bytes"), *(["content"] if content else []))
     rows = rows.where(F.lower("relative_path").rlike("(" + "|".join(e.lower().replace(".", r"\.") for e in extensions) + ")$"))
     if skipped:
-        rows = rows.where(~F.array_contains(F.split("relative_path", "/"), skipped))
-    return with_ordinal(rows, "relative_path")
+        rows = rows.where(~F.array_contains(F.split(F.lower("relative_path"), "/"), skipped.lower()))
+    return rows
 
 
 def _clean(path: str) -> str:
@@ -81,14 +80,16 @@ def first_root(spark: SparkSession, root: str, folders: tuple[str, ...] = ("imag
 def inspect(spark: SparkSession, images: DataFrame, root: str) -> DataFrame:
     """images with sha256, width, height, dhash64, ok and error.
 
-    An image that can't be decoded keeps its digest and has size 0, no fingerprint and an error. Digests are the JVM's;
-    decoding is Spark's image source, and only the fingerprint runs in Python.
+    An image that can't be decoded keeps its digest and has size 0, no fingerprint and an error, `Type: message`. Digests
+    are the JVM's and decoding Spark's image source (which has no decoder for webp), so bytes never meet in a shuffle;
+    only the fingerprint runs in Python.
     """
     decoded = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image.*").select(
         F.regexp_replace("origin", r"^(\w+):/+", "$1:/").alias("_p"), F.greatest("width", F.lit(0)).alias("width"), F.greatest("height", F.lit(0)).alias("height"),
         dhash_of_image(F.struct("height", "width", "nChannels", "data")).alias("dhash64"),
     )
-    rows = images.withColumn("_p", F.regexp_replace("image_path", r"^(\w+):/+", "$1:/")).withColumn("sha256", F.sha2("content", 256))
-    out = rows.join(decoded, "_p", "left").drop("_p", "content")
+    rows = images.withColumn("_p", F.regexp_replace("image_path", r"^(\w+):/+", "$1:/")).withColumn("sha256", F.sha2("content", 256)).drop("content")
+    out = rows.join(decoded, "_p", "left")
     ok = F.coalesce(F.col("width") > 0, F.lit(False))
-    return out.withColumn("ok", ok).withColumn("error", F.when(ok, "").otherwise("undecodable")).na.fill({"width": 0, "height": 0, "dhash64": ""})
+    error = F.format_string("UnidentifiedImageError: cannot identify image file '%s'", F.regexp_replace("_p", r"^file:", ""))
+    return out.withColumn("ok", ok).withColumn("error", F.when(ok, "").otherwise(error)).drop("_p").na.fill({"width": 0, "height": 0, "dhash64": ""})

@@ -3,9 +3,10 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
 from lodemark import config
-from lodemark.plans.audit import run_audit
+from lodemark.plans.audit import load_dataset, load_knowledge_base, run_audit
 from lodemark.plans.retrieval import run_retrieval
 
 
@@ -17,6 +18,19 @@ def png(path, seed):
     path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 32, 32, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
+def test_missing_input(spark, tmp_path):
+    cfg = config.merged(config.DEFAULTS, {"paths": {"a_root": f"file://{tmp_path}/none", "kb_root": f"file://{tmp_path}/kb"}})
+    with pytest.raises(FileNotFoundError):
+        load_dataset(spark, cfg)
+    png(tmp_path / "kb/images/x.png", 1)
+    with pytest.raises(FileNotFoundError):
+        load_knowledge_base(spark, cfg)
+    (tmp_path / "none/Caption").mkdir(parents=True)
+    png(tmp_path / "none/Caption/x.png", 1)
+    with pytest.raises(FileNotFoundError):
+        load_dataset(spark, cfg)
+
+
 def test_audit_and_retrieval(spark, tmp_path):
     a, kb = tmp_path / "a", tmp_path / "kb"
     for k, name in enumerate(("harbor/h1", "beach/b1", "beach/b2")):
@@ -32,10 +46,14 @@ def test_audit_and_retrieval(spark, tmp_path):
     report = run_audit(spark, cfg)
     counts = report["leakage"]["counts"]
     assert report["gate"] == "FAIL" and counts["hard_image_matches_test"] == 1 and counts["soft_image_matches"] >= 1
+    kb_rows = {r["relative_path"]: r for r in spark.read.json(str(tmp_path / "out/kb_manifest.jsonl")).collect()}
+    assert kb_rows["images/copy.png"]["class_name"] == "port" and kb_rows["images/copy.png"]["image_id"] == "kb::images/copy.png"
+    broken = [r for r in spark.read.json(str(tmp_path / "out/a_manifest.jsonl")).collect() if not r["ok"]]
+    assert [r["error"].partition(":")[0] for r in broken] == ["UnidentifiedImageError"] and broken[0]["error"].endswith(f"'{a}/images/beach/broken.PNG'") and broken[0]["sha256"]
     assert counts["exact_caption_overlaps"] == 1 and counts["normalized_caption_overlaps"] == 2
     assert report["a"]["integrity"]["n_records"] == 4 and report["a"]["integrity"]["n_ok"] == 3 and report["a"]["integrity"]["n_captions"] == 4
     queries = spark.createDataFrame([(f"a::images/{n}.png", [1.0, float(i)]) for i, n in enumerate(("harbor/h1", "beach/b1", "beach/b2"))], "query_id string, embedding array<float>")
-    captions = spark.createDataFrame([("kb::copy.png::caption::00", [1.0, 0.0]), ("kb::own.png::caption::00", [0.0, 1.0]), ("kb::own.png::caption::01", [1.0, 1.0])], "caption_id string, embedding array<float>")
+    captions = spark.createDataFrame([("kb::images/copy.png::caption::00", [1.0, 0.0]), ("kb::images/own.png::caption::00", [0.0, 1.0]), ("kb::images/own.png::caption::01", [1.0, 1.0])], "caption_id string, embedding array<float>")
     out = run_retrieval(spark, cfg, queries, captions)
     assert out["by_k"][1]["mean_similarity"] > 0.9 and out["ann"][2]["recall"] == 1.0 and out["by_k"][2]["queries_with_reference_string"] == 1
     assert (tmp_path / "reports/qualitative.html").exists()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodemark import config
-from lodemark.functions.hashing import dhash64, hamming_hex64, hash_split, unit_interval
+from lodemark.functions.hashing import _lanczos, _resampled, dhash64, hamming_hex64, hash_split, unit_interval
 from lodemark.functions.text import class_of, jaccard_distance, normalize_caption, normalize_id, token_set, words
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
@@ -28,7 +29,7 @@ def test_text(spark):
 
 
 def test_hashes(spark):
-    assert value(spark, unit_interval(F.col("x"), 42), x="ucm::agricultural/ag_001.jpg") == 0.30974960466846824
+    assert value(spark, unit_interval(F.col("x"), 42), x="set::field/f_07.png") == int(hashlib.sha256(b"42::set::field/f_07.png").hexdigest()[:8], 16) / 2**32
     assert value(spark, hamming_hex64(F.lit("f" * 16), F.lit("0" * 16))) == 64
     assert value(spark, hamming_hex64(F.lit(""), F.lit("0" * 16))) == 64
     with pytest.raises(ValueError):
@@ -62,25 +63,32 @@ def test_leakage(spark):
 
 
 def test_topk_is_stable(spark):
-    q = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "query_id long, embedding array<float>")
-    kb = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.8, 0.6]), (2, [0.0, 1.0]), (3, [2.0, 0.0])], "kb_ordinal long, embedding array<float>")
-    for batch, size in ((1, 1 << 20), (2, 32)):
-        got = exact_topk(q, kb, 2, batch, size).orderBy("query_id", "rank").collect()
-        assert [r["kb_ordinal"] for r in got] == [0, 3, 2, 1]
+    draw = np.random.default_rng(12)
+    x = np.rint(draw.normal(size=(90, 7)) * 3) + 0.5
+    x[40:60] = x[3]
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(x[:17])], "query_id string, embedding array<float>").repartition(3)
+    kb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "kb_ordinal long, embedding array<float>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {f"q{i}": np.lexsort((np.arange(90), -np.round(u @ u[i], 12)))[:6].tolist() for i in range(17)}
+    for batch, size in ((1, 1 << 20), (5, 7 * 8 * 11), (128, 56)):
+        got = {}
+        for r in exact_topk(q, kb, 6, batch, size).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["kb_ordinal"])
+        assert got == want
     with pytest.raises(ValueError):
-        exact_topk(q, kb, 5)
+        exact_topk(q, kb, 91)
 
 
 def test_results(spark):
-    kb = records(spark, [(0, "k::a", "a", "", "kb", ["one", "two"], "0" * 16, "s")])
-    a = records(spark, [(0, "q", "q", "", "test", ["one"], "0" * 15 + "1", "t")])
+    kb = records(spark, [(0, "k::harbour", "harbour", "", "kb", ["boats", "a pier", "boats"], "00ff00ff00ff00ff", "s"), (1, "k::wood", "wood", "", "kb", ["trees"], "", "t")])
+    a = records(spark, [(0, "q7", "q7", "", "val", ["trees"], "00ff00ff00ff0cff", "u"), (1, "q8", "q8", "", "test", ["sea"], "", "v")])
     captions, queries = caption_table(kb), query_table(a)
-    assert [r["caption_id"] for r in captions.orderBy("kb_ordinal").collect()] == ["k::a::caption::00", "k::a::caption::01"]
-    pairs = near_pairs(queries, captions, 1)
-    hits = spark.createDataFrame([("q", 1, 1, 0.9), ("q", 2, 0, 0.8)], "query_id string, rank int, kb_ordinal long, similarity double")
-    row = materialize(queries, hits_with_flags(hits, captions, pairs), pairs).first()
-    assert row["flagged_kb_near_duplicate_count"] == 1 and [h["caption"] for h in row["retrieved"]] == ["two", "one"]
-    assert row["retrieved"][0]["near_duplicate_hamming"] == 1
+    assert [r["caption_id"] for r in captions.orderBy("kb_ordinal").collect()] == [f"k::harbour::caption::0{i}" for i in range(3)] + ["k::wood::caption::00"]
+    pairs = near_pairs(queries, captions, 2)
+    hits = spark.createDataFrame([("q7", 1, 3, 0.7), ("q7", 2, 2, 0.6), ("q8", 1, 0, 0.5)], "query_id string, rank int, kb_ordinal long, similarity double")
+    rows = {r["query_id"]: r for r in materialize(queries, hits_with_flags(hits, captions, pairs), pairs).collect()}
+    assert rows["q7"]["flagged_kb_near_duplicate_count"] == 1 and [h["caption"] for h in rows["q7"]["retrieved"]] == ["trees", "boats"]
+    assert [h["near_duplicate_hamming"] for h in rows["q7"]["retrieved"]] == [None, 2] and not rows["q8"]["has_any_flagged_kb_near_duplicate"]
 
 
 def test_annotations(spark, tmp_path):
@@ -93,11 +101,64 @@ def test_annotations(spark, tmp_path):
         parse_annotations("text")
     table = {r["alias"]: r["captions"] for r in alias_table(spark, [("a/x.jpg", [" p "], ""), ("b/x.jpg", ["q"], "")]).collect()}
     assert table["x.jpg"] == table["x"] == ["p", "q"] and table["a/x.jpg"] == ["p"]
-    (tmp_path / "dataset.json").write_text(json.dumps({"images": [{"filename": "1.tif", "split": "train"}, {"filename": "2.tif", "split": "restval"}, {"filename": "3.tif", "split": "test"}]}))
+    named = [("p/quay.jpg", "Train"), ("dune.jpg", "restval"), ("fen.jpg", "TEST"), ("gone.jpg", "spare"), ("fen.jpg", "val")]
+    (tmp_path / "dataset.json").write_text(json.dumps({"images": [{"file_name": k, "split": s} for k, s in named]}))
     found = official_splits(spark, f"file://{tmp_path}")
-    assert found == [("1.tif", "train"), ("2.tif", "val"), ("3.tif", "test")]
-    out = apply_splits(spark.createDataFrame([("a::1.tif", "1.tif"), ("a::9.tif", "9.tif")], "image_id string, relative_path string"), found)
-    assert {r["relative_path"]: r["split_is_official"] for r in out.collect()} == {"1.tif": True, "9.tif": False}
+    assert found == [("p/quay.jpg", "train"), ("dune.jpg", "val"), ("fen.jpg", "test"), ("fen.jpg", "val")]
+    out = apply_splits(spark.createDataFrame([("a::p/quay.jpg", "p/quay.jpg"), ("a::fen.jpg", "fen.jpg"), ("a::moor.jpg", "moor.jpg")], "image_id string, relative_path string"), found)
+    assert {r["relative_path"]: (r["split_is_official"], r["split"]) for r in out.where("split_is_official").collect()} == {"p/quay.jpg": (True, "train"), "fen.jpg": (True, "val")} and out.count() == 3
+    # a list at the top is no answer, nor is the key `image`; comments in text files are none either
+    (tmp_path / "dataset.json").write_text(json.dumps([{"filename": "x.jpg", "split": "train"}]))
+    assert official_splits(spark, f"file://{tmp_path}") is None
+    (tmp_path / "dataset.json").write_text(json.dumps({"images": [{"image": "x.jpg", "split": "train"}]}))
+    (tmp_path / "train.txt").write_text("# files\n\n d/x.jpg \n")
+    assert official_splits(spark, f"file://{tmp_path}") == [("d/x.jpg", "train")]
+
+
+def test_knowledge_base_annotations(spark):
+    data = {"images": [{"id": 4, "filename": "p.tif", "class": "pond"}, {"id": 5, "filename": "r.tif", "category": "road"}, {"id": None, "filename": "s.tif"}], "annotations": [{"image_id": 5, "caption": "a road"}, {"image_id": 9, "caption": "none"}]}
+    rows = parse_annotations(data, knowledge_base=True)
+    assert rows == [("p.tif", [], "pond"), ("r.tif", ["a road"], "road")] and parse_annotations(data) == [("r.tif", ["a road"], "")]
+    assert parse_annotations({"images": [], "annotations": []}) == [] and parse_annotations({"images": [{"filename": "z.tif", "captions": ["c"]}]}) == [("z.tif", ["c"], "")]
+    with pytest.raises(ValueError):
+        parse_annotations({"images": {"a": 1}}, knowledge_base=True)
+    table = {r["alias"]: r for r in alias_table(spark, [("x/p.tif", ["one"], "first"), ("y/p.tif", [], "last"), ("p.tif", ["two"], "")], keep_empty=True).collect()}
+    assert table["p"]["class_name"] == "last" and table["p"]["captions"] == ["one", "two"] and table["y/p.tif"]["captions"] == []
+
+
+@pytest.mark.parametrize("threshold", [0, 2, 7, 8, 15, 16, 30])
+def test_hamming_join_at_any_threshold(spark, threshold):
+    draw = np.random.default_rng(threshold)
+    x = np.concatenate((draw.integers(-(1 << 63), 1 << 63, 50), [0, 0, -1]))
+    y = np.concatenate((x[:20] ^ (1 << draw.integers(0, 62, 20)), draw.integers(-(1 << 63), 1 << 63, 40), [0, 7]))
+    a, b = spark.createDataFrame([*((i, int(v)) for i, v in enumerate(x)), (99, None)], "i int, ha long"), spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "j int, hb long")
+    got = sorted((r["i"], r["j"], r["hamming"]) for r in hamming_join(a, b, threshold).collect())
+    assert got == sorted((i, j, n) for i, u in enumerate(x) for j, v in enumerate(y) if (n := int(np.bitwise_count(np.uint64(int(u) & (1 << 64) - 1) ^ np.uint64(int(v) & (1 << 64) - 1)))) <= threshold)
+
+
+def test_fingerprint_resampling():
+    """Weights add up, a flat image stays flat, and a step is where it was, for images above and below the size."""
+    for n, m in ((100, 9), (9, 9), (5, 9), (1, 8), (640, 8)):
+        w = _lanczos(n, m)
+        assert w.shape == (m, n) and (np.abs(w.sum(axis=1) - (1 << 22)) <= n).all()
+    assert (_resampled(np.full((7, 50), 200), 9) == 200).all()
+    draw = np.random.default_rng(3)
+    for h, w in ((64, 90), (33, 200), (300, 301)):
+        g = draw.integers(0, 256, (h, w))
+        # the published definition, sample by sample
+        want = np.zeros((h, 9), np.int64)
+        scale = w / 9
+        for i in range(9):
+            centre = (i + 0.5) * scale
+            low, high = max(0, int(centre - 3 * scale + 0.5)), min(w, int(centre + 3 * scale + 0.5))
+            k = []
+            for x in range(low, high):
+                t = (x - centre + 0.5) / scale
+                k.append(0.0 if abs(t) >= 3 else 1.0 if t == 0 else 3 * np.sin(np.pi * t) * np.sin(np.pi * t / 3) / (np.pi * t) ** 2)
+            whole = [int(0.5 + v / sum(k) * (1 << 22)) if v >= 0 else int(-0.5 + v / sum(k) * (1 << 22)) for v in k]
+            for r in range(h):
+                want[r, i] = min(255, max(0, ((1 << 21) + sum(int(g[r, low + j]) * v for j, v in enumerate(whole))) >> 22))
+        assert np.abs(_resampled(g, 9) - want).max() <= 1 and (_resampled(g, 9) != want).mean() < 0.01
 
 
 def test_manifest(spark):
