@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def scratch_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path that all executors share: in spark.checkpoint.dir, or a temporary one where all is one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.split("-")[0].startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        folder = "file://" + tempfile.mkdtemp(prefix="lodemark-")
+    return f"{folder.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def write_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, on any file system that Spark reaches."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text: annotations, splits and configurations."""
     fs, p = _fs(spark, path)
