@@ -136,14 +136,14 @@ def test_shuffle_is_uniform(spark):
     """200 rows alike among 400: their number in a shard is hypergeometric, as is that of rows that lay side by side."""
     docs = spark.createDataFrame([(7, "same text") if i % 2 else (i, f"text {i}") for i in range(400)], "doc_id long, text string").repartition(3)
     chi = []
-    for seed in range(12):
+    for seed in range(6):
         got = sharding.shuffle_into_shards(docs, 4, seed=seed, bucket_rows=60).collect()
         counts = np.bincount([r["shard"] for r in got if r["doc_id"] == 7], minlength=4)
         chi.append(((counts - 50) ** 2 / 25).sum() * 3 / 4)
         first = sum(r["doc_id"] == 7 for r in got if r["slot"] < 50)
         assert 70 <= first <= 130
-    # three degrees of freedom: a mean of 12 draws of 3, give or take 0.7
-    assert 0.8 < np.mean(chi) < 6
+    # three degrees of freedom: a mean of 6 draws of 3, give or take 1
+    assert 0.3 < np.mean(chi) < 7
 
 
 def test_sharding(spark):
@@ -337,7 +337,7 @@ def test_leaks_against_brute_force(spark):
     want = plain_leaks(docs, items, 0.5, 0.8)
     assert 20 < len(want) < 80
     table_, bench = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS + ", item_id int"), spark.createDataFrame([(i, t, "y") for i, t in items], "item_id long, text string, w string")
-    for shard_items in (100, 2):
+    for shard_items in (100, 4):
         got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in decontamination.find_leaks(table_, bench, shard_items=shard_items).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-8) for k in want)
         left = decontamination.drop_leaks(table_, bench, shard_items=shard_items)
