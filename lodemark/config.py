@@ -16,7 +16,7 @@ DEFAULTS = {
     "leakage": {"threshold": 5, "exact_captions": True, "normalized_captions": True},
     "gates": {"hard_image_matches": False, "hard_image_matches_test": False, "exact_caption_overlaps": False},
     "smoke": {"samples": 8},
-    "retrieval": {"ks": [1, 3, 5, 10], "batch": 128, "ann": True, "cells": 64, "probes": 16, "qualitative": 12},
+    "retrieval": {"ks": [1, 3, 5, 10], "batch": 128, "ann": True, "cells": None, "probes": None, "qualitative": 12},
 }
 ENVIRONMENT = {"a_root": "AUDIT_A_ROOT", "kb_root": "AUDIT_KB_ROOT", "processed_dir": "AUDIT_PROCESSED_DIR", "report_dir": "AUDIT_REPORT_DIR"}
 

@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodemark.operators.retrieval import _unit
 
-#: Vectors that the cells are fitted on at most, and vectors of a cell that one task holds.
-FIT_ROWS, CELL_ROWS = 20_000, 20_000
+#: Vectors that the cells are fitted on at least and for each cell, vectors of a cell that one task holds, and cells at most.
+FIT_ROWS, FIT_PER_CELL, CELL_ROWS, CELLS = 20_000, 8, 20_000, 16_384
+
+
+def cells_for(n: int) -> int:
+    """Four times the root of the rows, so that cells and their rows grow alike; CELLS at most, as centres are sent to all tasks."""
+    return max(1, min(CELLS, math.ceil(4 * n**0.5)))
+
+
+def probes_for(cells: int) -> int:
+    """A number that grows as the root of the cells, so a query's share of the rows falls as they grow (0.4 of 2000, 0.04 of 16,384 cells)."""
+    return min(cells, math.ceil(5.4 * cells**0.5))
 
 
-def build(kb: DataFrame, cells: int = 64, rounds: int = 10, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
+def build(kb: DataFrame, cells: int | None = None, rounds: int = 10, seed: int = 42) -> tuple[np.ndarray, DataFrame]:
     """Centres of the cells, and the knowledge base (kb_ordinal, embedding) with cell and part, a slice of a large cell."""
-    sample = kb.select("kb_ordinal", "embedding").orderBy(F.xxhash64("kb_ordinal")).limit(FIT_ROWS).toPandas()
+    n = kb.count()
+    cells = cells or cells_for(n)
+    sample = kb.select("kb_ordinal", "embedding").orderBy(F.xxhash64("kb_ordinal")).limit(max(FIT_ROWS, FIT_PER_CELL * cells)).toPandas()
     x, draw = _unit(sample["embedding"]), np.random.default_rng(seed)
     centre = x[draw.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
@@ -24,7 +38,6 @@ def build(kb: DataFrame, cells: int = 64, rounds: int = 10, seed: int = 42) -> t
         sums = np.stack([np.bincount(near, x[:, d], len(centre)) for d in range(x.shape[1])], axis=1)
         length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
         centre = np.where(length > 0, sums / np.where(length > 0, length, 1), centre)
-    parts = max(1, -(-kb.count() // CELL_ROWS))
 
     def assign(batches):
         for pdf in batches:
@@ -32,13 +45,24 @@ def build(kb: DataFrame, cells: int = 64, rounds: int = 10, seed: int = 42) -> t
                 yield pdf.assign(cell=(_unit(pdf["embedding"]) @ centre.T).argmax(axis=1).astype("int32"))
 
     placed = kb.select("kb_ordinal", "embedding").mapInPandas(assign, "kb_ordinal long, embedding array<float>, cell int")
-    return centre, placed.withColumn("part", F.pmod(F.xxhash64("kb_ordinal"), F.lit(parts)).cast("int"))
+    # a row for each cell: broadcast whatever the input
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("n"))
+    return centre, placed.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("kb_ordinal"), F.col("n")).cast("int")).select("kb_ordinal", "embedding", "cell", "part")
+
+
+def centres_table(spark: SparkSession, centre: np.ndarray) -> DataFrame:
+    """Centres as rows (cell, centre), to be stored beside the placed vectors."""
+    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centre)], "cell int, centre array<double>")
+
+
+def read_centres(rows: DataFrame) -> np.ndarray:
+    return np.array([r["centre"] for r in rows.orderBy("cell").collect()])
 
 
-def search(centre: np.ndarray, placed: DataFrame, queries: DataFrame, k: int, probes: int = 16) -> DataFrame:
+def search(centre: np.ndarray, placed: DataFrame, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
     """query_id, rank, kb_ordinal, similarity: the k best of the `probes` cells nearest to each query."""
     key = queries.schema["query_id"].dataType.simpleString()
-    probes = min(probes, len(centre))
+    probes = min(probes or probes_for(len(centre)), len(centre))
 
     def route(batches):
         for pdf in batches:

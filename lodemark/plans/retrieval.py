@@ -13,6 +13,7 @@ from lodemark.operators.ordering import with_ordinal
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.operators.sampling import stratified_ids
 from lodemark.sources import sinks
+from lodemark.sources.files import folder_bytes
 
 
 def summarize(flagged: DataFrame, queries: DataFrame, pairs: DataFrame, ks: list[int]) -> dict:
@@ -51,9 +52,17 @@ def run_retrieval(spark: SparkSession, cfg: dict, query_vectors: DataFrame, capt
     n = queries.count()
     report = {"queries": n, "exact_search": {"total_s": took, "mean_ms": 1000 * took / n}, "spark": spark.version, "master": spark.sparkContext.master, **summarize(flagged, queries, pairs, r["ks"])}
     if r["ann"]:
+        began = time.perf_counter()
         centre, placed = ann.build(vectors, r["cells"], seed=cfg["seed"])
         sinks.write_vectors(placed, f"{out}/ann_cells")
-        found = ann.search(centre, spark.read.parquet(f"{out}/ann_cells"), query_vectors, max(r["ks"]), r["probes"])
+        sinks.write_vectors(ann.centres_table(spark, centre), f"{out}/ann_centres")
+        built = time.perf_counter() - began
+        stored = ann.read_centres(spark.read.parquet(f"{out}/ann_centres"))
+        began = time.perf_counter()
+        sinks.write_vectors(ann.search(stored, spark.read.parquet(f"{out}/ann_cells"), query_vectors, max(r["ks"]), r["probes"]), f"{out}/ann_hits")
+        searched = time.perf_counter() - began
+        found = spark.read.parquet(f"{out}/ann_hits")
+        report["ann_index"] = {"build_s": built, "search_s": searched, "mean_ms": 1000 * searched / n, "bytes": sum(folder_bytes(spark, f"{out}/{x}") for x in ("ann_cells", "ann_centres")), "cells": len(stored)}
         report["ann"] = {x["k"]: {m: x[m] for m in ("recall", "tie_aware_recall", "full_agreement")} for x in metrics.ann_recall(hits, found, r["ks"]).collect()}
     chosen = stratified_ids(queries, r["qualitative"], cfg["seed"])
     rows = results.where(F.col("query_id").isin(chosen)).orderBy("split", "query_id").collect()
@@ -62,5 +71,5 @@ def run_retrieval(spark: SparkSession, cfg: dict, query_vectors: DataFrame, capt
     cards = [{"heading": x["query_id"], "image": sinks.thumbnail(bytes_of[b]) if (b := x["query_image_path"].rpartition("/")[2]) in bytes_of else None, "lines": [f"{h['rank']}. {h['similarity']:.4f} {h['caption']}" + (" (near pair)" if h["flagged_near_duplicate_pair"] else "") for h in x["retrieved"] or []]} for x in rows]
     sinks.write_html(reports / "qualitative.html", "Queries and what they retrieve", cards)
     sinks.write_json(reports / "retrieval.json", report, sort=False)
-    sinks.write_markdown(reports / "retrieval.md", "Retrieval", {"Run": {k: report[k] for k in ("queries", "spark", "master")}, "Metrics": {f"{m} at {k}": v for k, ms in report["by_k"].items() for m, v in ms.items()}, "Approximate search": report.get("ann", {})})
+    sinks.write_markdown(reports / "retrieval.md", "Retrieval", {"Run": {k: report[k] for k in ("queries", "spark", "master")}, "Metrics": {f"{m} at {k}": v for k, ms in report["by_k"].items() for m, v in ms.items()}, "Approximate search": report.get("ann", {}), "Approximate index": report.get("ann_index", {})})
     return report

@@ -43,6 +43,12 @@ def write_file(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text: annotations, splits and configurations."""
     fs, p = _fs(spark, path)

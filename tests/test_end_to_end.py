@@ -55,5 +55,5 @@ def test_audit_and_retrieval(spark, tmp_path):
     queries = spark.createDataFrame([(f"a::images/{n}.png", [1.0, float(i)]) for i, n in enumerate(("harbor/h1", "beach/b1", "beach/b2"))], "query_id string, embedding array<float>")
     captions = spark.createDataFrame([("kb::images/copy.png::caption::00", [1.0, 0.0]), ("kb::images/own.png::caption::00", [0.0, 1.0]), ("kb::images/own.png::caption::01", [1.0, 1.0])], "caption_id string, embedding array<float>")
     out = run_retrieval(spark, cfg, queries, captions)
-    assert out["by_k"][1]["mean_similarity"] > 0.9 and out["ann"][2]["recall"] == 1.0 and out["by_k"][2]["queries_with_reference_string"] == 1
+    assert out["by_k"][1]["mean_similarity"] > 0.9 and out["ann"][2]["recall"] == 1.0 and out["ann_index"]["cells"] == 2 and out["ann_index"]["bytes"] > 0 and out["by_k"][2]["queries_with_reference_string"] == 1
     assert (tmp_path / "reports/qualitative.html").exists()
