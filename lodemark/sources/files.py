@@ -106,6 +106,12 @@ def first_root(spark: SparkSession, root: str, folders: tuple[str, ...] = ("imag
     return root
 
 
+def decoded_images(spark: SparkSession, root: str) -> DataFrame:
+    """image_path and image (height, width, nChannels, data: rows of blue, green, red bytes) of what can be decoded under root."""
+    rows = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", True).load(root)
+    return rows.select(F.col("image.origin").alias("image_path"), F.struct("image.height", "image.width", "image.nChannels", "image.data").alias("image"))
+
+
 def inspect(spark: SparkSession, images: DataFrame, root: str) -> DataFrame:
     """images with sha256, width, height, dhash64, ok and error.
 

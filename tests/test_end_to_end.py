@@ -4,10 +4,13 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.errors import PythonException
 
 from lodemark import config
+from lodemark.operators.encoding import encode
 from lodemark.plans.audit import load_dataset, load_knowledge_base, run_audit
 from lodemark.plans.retrieval import run_retrieval
+from lodemark.sources.files import decoded_images
 
 
 def png(path, seed):
@@ -31,6 +34,24 @@ def test_missing_input(spark, tmp_path):
         load_dataset(spark, cfg)
 
 
+def test_encode_images(spark, tmp_path):
+    for k in range(5):
+        png(tmp_path / f"d/{k}.png", k)
+    (tmp_path / "d/broken.png").write_bytes(b"none")
+    images = decoded_images(spark, f"file://{tmp_path}")
+
+    def load(columns=4):
+        return lambda found: np.array([np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], x["nChannels"])[0, :columns, 2] + 1.0 for x in found])
+
+    got = {r["image_path"].rpartition("/")[2]: r["embedding"] for r in encode(images, "image_path", "image", load, 4, batch=2).collect()}
+    for k in range(5):
+        row = np.random.default_rng(k).integers(0, 255, (32, 32, 3), dtype=np.uint8)[0, :4, 0] + 1.0
+        assert np.allclose(got[f"{k}.png"], row / np.linalg.norm(row), atol=1e-6)
+    assert len(got) == 5
+    with pytest.raises(PythonException):
+        encode(images, "image_path", "image", load, 5).collect()
+
+
 def test_audit_and_retrieval(spark, tmp_path):
     a, kb = tmp_path / "a", tmp_path / "kb"
     for k, name in enumerate(("harbor/h1", "beach/b1", "beach/b2")):
