@@ -7,8 +7,9 @@ without a character. Variants are joined by equal hashes and the edit distance i
 A line has as many variants as characters, so those are emitted only where a partner can be: if one character differs, all
 segments of the line but one agree, at the front counted from the start and at the back counted from the end. Lines are
 first held together by halves, what is left by sixteenths, and deletions are emitted inside the segments that may differ.
-Both filters lose no pair. A group of equal variants holds one line for each character that can stand in the one place, so
-it is bounded by the alphabet and never by the number of rows; each line is linked to the earliest of its group alone.
+Both filters lose no pair. What surrounds a segment is hashed once, so a variant costs no more than the segment it is made
+of. A group of equal variants holds one line for each character that can stand in the one place, so it is bounded by the
+alphabet and never by the number of rows; each line is linked to the earliest of its group alone.
 """
 
 from __future__ import annotations
@@ -62,16 +63,24 @@ def _near(docs: DataFrame, occurrences: DataFrame, firsts: DataFrame) -> DataFra
     )
     drop_cut(coarse)
     fine = _shared(lines.select("h1", "h2", F.explode(_segments(F.col("line"), FINE)).alias("e")).select("h1", "h2", "e.*"))
-    parts = fine.groupBy("h1", "h2").agg(F.collect_set(F.struct("m", "g")).alias("parts"))  # 2 * FINE at most
+    parts = fine.groupBy("h1", "h2").agg(F.collect_set(F.struct("key", "m", "g")).alias("parts"))  # 2 * FINE at most
     lines_left = cut(lines.join(parts, ["h1", "h2"]), "fine")
-    size = F.char_length("line")
+    size, m, g = F.char_length("line"), F.col("p.m"), F.col("p.g")
+    begin, end = F.floor(m * g / FINE).cast("int"), F.floor(m * (g + 1) / FINE).cast("int")
+    whole, back = m == size, m - end
     at = lines_left.select("h1", "h2", "first", "line", F.explode("parts").alias("p"))
-    begin, end = F.floor(F.col("p.m") * F.col("p.g") / FINE).cast("int"), F.floor(F.col("p.m") * (F.col("p.g") + 1) / FINE).cast("int")
-    whole = F.col("p.m") == size
-    at = at.withColumn("i", F.explode(F.sequence(begin, F.when(whole, end - 1).otherwise(end)))).withColumn("whole", whole)
-    left = F.concat(F.substring("line", F.lit(1), F.col("i")), F.substring("line", F.col("i") + 2, size))
-    variants = at.select("h1", "h2", "first", F.xxhash64(left).alias("v"), F.hash(left).alias("v2"), F.when(F.col("whole"), F.col("i")).otherwise(F.lit(-1)).alias("i"), F.lit(False).alias("w"))
-    variants = variants.union(at.where("whole").select("h1", "h2", "first", F.col("h1"), F.col("h2"), F.lit(-1), F.lit(True))).distinct()
+    # what is around the segment, by a second hash of its own, and the segment, a character longer where one may be left out
+    around = F.hash("p.key", F.substring("line", F.lit(1), begin), F.substring("line", size - back + 1, back))
+    at = at.select("h1", "h2", "first", "p.key", around.alias("around"), whole.alias("whole"), F.substring("line", begin + 1, size - back - begin).alias("segment"))
+    length = F.char_length("segment")
+    each = F.when(length > 0, F.sequence(F.lit(0), length - 1)).otherwise(F.array().cast("array<int>"))
+    left = F.concat(F.substring("segment", F.lit(1), F.col("i")), F.substring("segment", F.col("i") + 2, length))
+
+    def variant(rest: Column, i: Column, uncut: bool) -> list[Column]:
+        return [F.xxhash64("key", "around", rest).alias("v"), F.hash("around", "key", rest).alias("v2"), i.alias("i"), F.lit(uncut).alias("w")]
+
+    variants = at.withColumn("i", F.explode(each)).select("h1", "h2", "first", *variant(left, F.when(F.col("whole"), F.col("i")).otherwise(F.lit(-1)), False))
+    variants = variants.union(at.where("whole").select("h1", "h2", "first", *variant(F.col("segment"), F.lit(-1), True))).distinct()
     group = Window.partitionBy("v", "v2", "i")
     me = F.struct("first", "h1", "h2")
     # replaced: all of a group are alike; put in or left out: the one whole line is alike to each of the others
