@@ -34,5 +34,15 @@ def with_ordinal(rows: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
     if count > 1:
         drawn = sorted(r[0] for r in rows.select(order.alias("k"), F.xxhash64(key).alias("h")).orderBy("h", "k").limit(SAMPLE).select("k").collect())
         bounds = [drawn[len(drawn) * i // count] for i in range(1, count)]
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= order)) if bounds else F.lit(0)
-    return prefix_sum(rows, bucket, [order, F.col(key)], F.lit(1), name)
+    return prefix_sum(rows, _bucket_of(order, bounds), [order, F.col(key)], F.lit(1), name)
+
+
+def _bucket_of(value: Column, bounds: list, first: int = 0) -> Column:
+    """How many of the sorted bounds are at most the value, by halves.
+
+    A lambda over an array of bounds would do, but the optimiser carries its outer column to the wrong side of a join.
+    """
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value < F.lit(bounds[half]), _bucket_of(value, bounds[:half], first)).otherwise(_bucket_of(value, bounds[half + 1 :], first + half + 1))

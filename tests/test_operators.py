@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodemark import config
 from lodemark.functions.hashing import _lanczos, _resampled, dhash64, hamming_hex64, hash_split, unit_interval
 from lodemark.functions.text import class_of, jaccard_distance, normalize_caption, normalize_id, token_set, words
+from lodemark.operators import ordering
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.schema import problems, to_manifest
@@ -62,6 +63,16 @@ def test_leakage(spark):
     assert gate({"hard_image_matches": 1}, {"hard_image_matches": True}) == ("FAIL", ["hard_image_matches"])
 
 
+@pytest.mark.parametrize("per_bucket", [1, 7, 1000])
+def test_order_over_several_buckets(spark, monkeypatch, tmp_path, per_bucket):
+    monkeypatch.setattr(ordering, "BUCKET_ROWS", per_bucket)
+    keys = [f"{'aBcD'[i % 4]}/{(i * 37) % 50:02d}.png" for i in range(100)] + ["", None]
+    spark.createDataFrame([(k,) for k in keys], "url string").write.parquet(f"file://{tmp_path}/pages")
+    rows = spark.read.parquet(f"file://{tmp_path}/pages").dropDuplicates(["url"])
+    got = {r["url"]: r["ordinal"] for r in ordering.with_ordinal(rows, "url").select("url", "ordinal").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(set(keys), key=lambda k: ((k or "").lower(), k is not None, k or "")))}
+
+
 def test_topk_is_stable(spark):
     draw = np.random.default_rng(12)
     x = np.rint(draw.normal(size=(90, 7)) * 3) + 0.5
