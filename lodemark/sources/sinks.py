@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from lodemark.schema import MANIFEST
 
 
+#: Spark trims fields when it writes CSV and guesses the line end when it reads it, unless told otherwise.
+_CSV = {"header": True, "escape": '"', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """JSON lines with sorted keys; nulls are written."""
     rows.select(sorted(rows.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
@@ -24,8 +28,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """CSV with a header; captions in one field, between bars."""
-    rows.withColumn("captions", F.concat_ws(" || ", "captions")).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; captions in one field, between bars. Every field is quoted and keeps the white space at its ends."""
+    rows.withColumn("captions", F.concat_ws(" || ", "captions")).write.mode("overwrite").options(**_CSV, quoteAll=True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """What write_csv wrote, as strings; lines end where it ended them, whatever line ends lie inside fields."""
+    return spark.read.options(**_CSV, multiLine=True).csv(path)
 
 
 def write_vectors(rows: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from lodemark.operators import ordering
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.schema import problems, to_manifest
+from lodemark.sources import sinks
 from lodemark.sources.annotations import alias_table, apply_splits, official_splits, parse_annotations
 
 
@@ -177,6 +178,14 @@ def test_manifest(spark):
     assert [r["problem"] for r in problems(rows).orderBy("problem_index").collect()] == ["ok_without_sha256", "ok_without_captions"]
 
 
+def test_csv_keeps_white_space(spark, tmp_path):
+    texts = ["plain", " lead", "trail ", "\ttab\t", "\nline", "line\n", "\r", "a\rb", "a\r\nb\r\n", "\x01z", " ", "", '"', '"q", "', "\\", '\\"', "#x", "null", "\u3000x\u00a0"]
+    rows = spark.createDataFrame([(str(i), [t]) for i, t in enumerate(texts)], "image_id string, captions array<string>").repartition(3)
+    sinks.write_csv(to_manifest(rows), f"file://{tmp_path}/m")
+    got = {int(r["image_id"]): r["captions"] or "" for r in sinks.read_csv(spark, f"file://{tmp_path}/m").collect()}
+    assert got == dict(enumerate(texts))
+
+
 def test_config(tmp_path, monkeypatch):
     (tmp_path / "c.yaml").write_text("seed: 1\npaths: {a_root: x}\n")
     (tmp_path / "local.yaml").write_text("seed: 2\n")
