@@ -2,8 +2,9 @@
 
 A unit vector is coded as the sum of one full-dimensional codeword from each of several codebooks. Codebooks begin as
 k-means of the residuals left by those before and are then fitted to each other by least squares; codes are found by beam
-search. The index keeps a vector's codes and the stored norm of its approximation, so a query scores every vector by adding
-up looked-up dot products. The best are scored again on the original vectors, in double precision.
+search. The index keeps a vector's codes, the stored norm of its approximation and its distance from it, so a query scores
+every vector by adding up looked-up dot products. The best are scored again, and so is every vector whose approximation is
+not too far off to rule it out; the best of those are scored on the original vectors, in double precision.
 Vectors of one direction (to twelve digits) are one entry of the index and keep the few smallest ids that any answer can
 need, so neither copies nor multiples of a vector crowd out anything.
 """
@@ -24,10 +25,12 @@ from lodemark.llm.common import buckets_for, cut, drop_cut, hashed_sample, sessi
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: About so many vectors fit the codebooks: those with the smallest hashes.
 FIT_ROWS = 32_768
-#: Entries that are scored exactly for each query.
+#: Entries that are scored exactly for each query and batch of codes, to know the score to beat.
 RERANK = 320
 #: Queries that are broadcast at once (float32: 1 MB at 64 dimensions), and codes that a task scans.
 QUERY_BLOCK, SCAN_ROWS = 4096, 65_536
+#: Queries that meet a batch of codes at once, what looked-up scores may be off by rounding, and scores that may be ties.
+QUERY_CHUNK, LOOKUP_ERROR, SAME = 128, 1e-4, 1e-10
 #: Digits to which directions and scores are told apart.
 DIGITS = 12
 
@@ -118,46 +121,78 @@ def _encoder(books):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                codes = books.value.encode(_unit(pdf["unit"]).astype(np.float32))
+                unit = _unit(pdf["unit"])
+                codes = books.value.encode(unit.astype(np.float32))
                 near = books.value.decode(codes)
-                yield pd.DataFrame({"c": pdf["c"], "codes": [r.tobytes() for r in codes], "norm": (near * near).sum(axis=1)})
+                off = np.sqrt(((unit - near) ** 2).sum(axis=1))
+                yield pd.DataFrame({"c": pdf["c"], "codes": [r.tobytes() for r in codes], "norm": (near * near).sum(axis=1), "off": off, "unit": [r.tobytes() for r in unit]})
 
     return run
 
 
-def _scanner(books, queries, rerank: int):
+def _scanner(books, queries, rerank: int, k: int):
+    """For each query the k + 1 best entries of a task, and all as good to the last digits: its own may be one of them.
+
+    Looked-up scores give a short list, and that a score to beat. By the triangle inequality an entry as far from its
+    approximation as `off` can't beat it if the approximation is farther from the query by more than that; all others are
+    scored exactly.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n_books, words, _ = books.value.words.shape
-        ask = queries.value[1]
-        best_s, best_c = np.zeros((len(ask), 0), np.float32), np.zeros((len(ask), 0), np.int64)
+        ask, exact = queries.value[1], queries.value[4]
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(ask)
+
+        def keep(i: int, score: np.ndarray, c: np.ndarray) -> None:
+            score, c = np.concatenate((best[i][0], score)), np.concatenate((best[i][1], c))
+            if len(score) > k + 1:
+                there = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1] - SAME
+                score, c = score[there], c[there]
+            best[i] = score, c
+
         for pdf in batches:
             if not len(pdf):
                 continue
             codes = np.frombuffer(b"".join(pdf["codes"]), np.uint8).reshape(-1, n_books).astype(np.int64)
-            norm, c = pdf["norm"].to_numpy(np.float32) / 2, pdf["c"].to_numpy(np.int64)
-            new_s, new_c = [], []
-            for i in range(len(ask)):
-                table = books.value.words @ ask[i]
-                s = -norm
-                for m in range(n_books):
-                    s = s + table[m][codes[:, m]]
-                top = np.argpartition(-s, rerank - 1)[:rerank] if len(s) > rerank else np.arange(len(s))
-                new_s.append(s[top])
-                new_c.append(c[top])
-            best_s, best_c = np.concatenate((best_s, np.stack(new_s)), 1), np.concatenate((best_c, np.stack(new_c)), 1)
-            if best_s.shape[1] > rerank:
-                top = np.argpartition(-best_s, rerank - 1, axis=1)[:, :rerank]
-                best_s, best_c = np.take_along_axis(best_s, top, 1), np.take_along_axis(best_c, top, 1)
-        if best_s.size:
-            q = np.repeat(np.arange(len(ask)), best_s.shape[1])
-            yield pd.DataFrame({"q": q, "c": best_c.ravel(), "s": best_s.ravel().astype(np.float64)})
+            norm, c, off = pdf["norm"].to_numpy(np.float32) / 2, pdf["c"].to_numpy(np.int64), pdf["off"].to_numpy(np.float64)
+            unit = np.frombuffer(b"".join(pdf["unit"])).reshape(len(c), -1)
+            for at in range(0, len(ask), QUERY_CHUNK):
+                part = range(at, min(at + QUERY_CHUNK, len(ask)))
+                left = []
+                for i in part:
+                    table = books.value.words @ ask[i]
+                    s = -norm
+                    for m in range(n_books):
+                        s = s + table[m][codes[:, m]]
+                    top = np.argpartition(-s, rerank - 1)[:rerank] if len(s) > rerank else np.arange(len(s))
+                    score = unit[top] @ exact[i]
+                    if len(top) == len(s):
+                        keep(i, score, c[top])
+                        left.append(top[:0])
+                        continue
+                    known = np.concatenate((best[i][0], score))
+                    beat = np.partition(known, len(known) - k - 1)[len(known) - k - 1] - SAME if len(known) > k else -2.0
+                    keep(i, score[score >= beat], c[top[score >= beat]])
+                    open_ = s >= (1 - (np.sqrt(max(0.0, 2 - 2 * beat)) + off) ** 2) / 2 - LOOKUP_ERROR
+                    open_[top] = False
+                    left.append(np.nonzero(open_)[0])
+                # many left: one product of matrices is cheaper than vector by vector
+                whole = exact[part.start : part.stop] @ unit.T if sum(map(len, left)) > 0.05 * len(part) * len(c) else None
+                for j, i in enumerate(part):
+                    if len(left[j]):
+                        score = whole[j][left[j]] if whole is not None else unit[left[j]] @ exact[i]
+                        least = best[i][0].min() - SAME if len(best[i][0]) > k else -2.0
+                        keep(i, score[score >= least], c[left[j][score >= least]])
+        if sum(len(x) for x, _ in best):
+            q = np.repeat(np.arange(len(ask)), [len(x) for x, _ in best])
+            yield pd.DataFrame({"q": q, "c": np.concatenate([x for _, x in best]), "s": np.concatenate([x for x, _ in best])})
 
     return run
 
 
 def _reranker(queries):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, _, raw, own = queries.value
+        ids, _, raw, own, _ = queries.value
         length = np.sqrt((raw * raw).sum(axis=1))
         for pdf in batches:
             pdf = pdf[own[pdf["q"].to_numpy(np.int64)] != pdf["row"].to_numpy(np.int64)]
@@ -189,7 +224,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERAN
     """The k nearest found of each row whose vec_id is divisible by `every`: query_id, rank, vec_id, score (cosine).
 
     Rows with a null id, a null, zero or non-finite vector, or another dimension than most take no part; finite components
-    of any size count. Scores equal to DIGITS digits are ties and go to the smaller vec_id, so multiples of a vector come
+    of any size count. What the codes can't rule out is scored exactly, so none of the nearest is missed, however many lie
+    within the codes' error; `rerank` is the length of the short list alone. Scores equal to DIGITS digits are ties and go to the smaller vec_id, so multiples of a vector come
     in order of their ids. Every row is a candidate of all others: a row repeated, or of the same id, too. An empty table
     gives an empty one; extra columns are not looked at. Queries run in blocks of about QUERY_BLOCK, each broadcast and
     scanned against the whole index, each block's answers written.
@@ -211,15 +247,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = RERAN
     sample = hashed_sample(entries.select("c", "unit", F.xxhash64("unit").alias("h")), "h", n, fit_rows).toPandas().sort_values(["h", "c"])
     books = spark.sparkContext.broadcast(train(_unit(sample["unit"])))
     parts = buckets_for(n, SCAN_ROWS)
-    index = cut(entries.select("c", "unit").mapInPandas(_encoder(books), "c long, codes binary, norm float").repartition(parts, "c"), "index")
+    index = cut(entries.select("c", "unit").mapInPandas(_encoder(books), "c long, codes binary, norm float, off double, unit binary").repartition(parts, "c"), "index")
     found = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == b).orderBy("vec_id", "row").toPandas()
         if not len(block):
             continue
-        queries = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _unit(block["embedding"]).astype(np.float32), _scaled(block["embedding"]), block["row"].to_numpy(np.int64)))
-        near = index.mapInPandas(_scanner(books, queries, rerank), "q long, c long, s double")
-        best = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "c"))).where(F.col("r") <= rerank).select("q", "c")
+        queries = spark.sparkContext.broadcast((block["vec_id"].to_numpy(np.int64), _unit(block["embedding"]).astype(np.float32), _scaled(block["embedding"]), block["row"].to_numpy(np.int64), _unit(block["unit"])))
+        near = index.mapInPandas(_scanner(books, queries, rerank, k), "q long, c long, s double")
+        every = Window.partitionBy("q").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        best = near.withColumn("edge", F.nth_value("s", k + 1).over(every)).where(F.col("edge").isNull() | (F.col("s") >= F.col("edge") - SAME)).select("q", "c")
         each = best.join(entries, "c").select("q", F.explode("members").alias("m")).select("q", "m.*")
         scored = each.mapInPandas(_reranker(queries), "q long, query_id long, vec_id long, row long, score double")
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.round("score", DIGITS).desc(), "vec_id", "row"))

@@ -482,6 +482,22 @@ def test_neighbours(spark):
     assert quantisation.nearest(vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["wide", "crowded"])
+def test_neighbours_that_codes_cannot_tell(spark, kind):
+    """Vectors of more dimensions than codes describe, and crowds closer together than the codes' error."""
+    draw, n = np.random.default_rng(7), 3000
+    x = draw.normal(size=(n, 192)) if kind == "wide" else draw.normal(size=(3, 16))[draw.integers(3, size=n)] + 1e-5 * draw.normal(size=(n, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in quantisation.nearest(vectors, rerank=60, fit_rows=1024).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, n, 50):
+        s = u @ u[q]
+        s[q] = -9
+        mine = [got[q, r] for r in range(1, 6)]
+        # the order of scores that differ in their last digits is open
+        assert len({*mine}) == 5 and np.abs(s[mine] - np.sort(s)[::-1][:5]).max() <= 2e-12
+
+
 def test_language_spans(spark):
     en, de = "the house of things and other".split(), "das haus der dinge und andere".split()
     model = langid.train([(" ".join(random.Random(i).choices(en if i % 2 else de, k=30)), "en" if i % 2 else "de") for i in range(60)] + [(" ".join(en) + "\n" + " ".join(de), "en")] * 20)
