@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from lodemark import config
 from lodemark.functions.hashing import _lanczos, _resampled, dhash64, hamming_hex64, hash_split, unit_interval
 from lodemark.functions.text import class_of, jaccard_distance, normalize_caption, normalize_id, token_set, words
-from lodemark.operators import ordering
+from lodemark.operators import ann, ordering, retrieval
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.schema import problems, to_manifest
@@ -91,6 +92,31 @@ def test_topk_is_stable(spark):
         exact_topk(q, kb, 91)
 
 
+def test_search_is_dealt_over_a_grid(spark, monkeypatch):
+    """Tasks are cells of bounded queries and vectors, whatever bytes they have: adaptive execution would put them together."""
+    monkeypatch.setattr(retrieval, "LEAST_ROWS", 50)
+    x = np.random.default_rng(2).normal(size=(600, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, embedding array<double>")
+    hits = exact_topk(rows, rows.withColumnRenamed("query_id", "kb_ordinal"), 5, block_bytes=200 * 64)
+    assert re.search(r"hashpartitioning\(cell#\d+, 24\), REPARTITION_BY_NUM", hits._jdf.queryExecution().toString())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r["query_id"], r["rank"]): r["kb_ordinal"] for r in hits.collect()}
+    assert all([got[q, r] for r in range(1, 6)] == np.argsort(-(u @ u[q]), kind="stable")[:5].tolist() for q in range(600))
+
+
+def test_approximate_search_of_all_cells_is_exact(spark, monkeypatch):
+    """Small batches, groups and cells in parts: no hit is lost among them."""
+    monkeypatch.setattr(ann, "CELL_ROWS", 40)
+    monkeypatch.setattr(ann, "ROUTED", 30)
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 100 * 64)
+    x = np.random.default_rng(3).normal(size=(500, 8))
+    x[100:180] = x[7]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "query_id long, embedding array<float>")
+    centre, placed = ann.build(rows.withColumnRenamed("query_id", "kb_ordinal"), 9)
+    want = sorted(map(tuple, exact_topk(rows, rows.withColumnRenamed("query_id", "kb_ordinal"), 6).drop("similarity").collect()))
+    assert sorted(map(tuple, ann.search(centre, placed, rows, 6, 9).drop("similarity").collect())) == want
+
+
 def test_results(spark):
     kb = records(spark, [(0, "k::harbour", "harbour", "", "kb", ["boats", "a pier", "boats"], "00ff00ff00ff00ff", "s"), (1, "k::wood", "wood", "", "kb", ["trees"], "", "t")])
     a = records(spark, [(0, "q7", "q7", "", "val", ["trees"], "00ff00ff00ff0cff", "u"), (1, "q8", "q8", "", "test", ["sea"], "", "v")])
