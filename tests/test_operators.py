@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodemark import config
 from lodemark.functions.hashing import _lanczos, _resampled, dhash64, hamming_hex64, hash_split, unit_interval
 from lodemark.functions.text import class_of, jaccard_distance, normalize_caption, normalize_id, token_set, words
-from lodemark.operators import ann, ordering, retrieval
+from lodemark.operators import ann, leakage, ordering, retrieval
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.schema import problems, to_manifest
@@ -174,6 +174,17 @@ def test_hamming_join_at_any_threshold(spark, threshold):
     assert got == sorted((i, j, n) for i, u in enumerate(x) for j, v in enumerate(y) if (n := int(np.bitwise_count(np.uint64(int(u) & (1 << 64) - 1) ^ np.uint64(int(v) & (1 << 64) - 1)))) <= threshold)
 
 
+def test_tiles_are_dealt_by_work(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(leakage, "TILE", 16)
+    x = np.random.default_rng(8).integers(-(1 << 63), 1 << 63, 300)
+    rows = spark.createDataFrame([(i, int(v)) for i, v in enumerate(x)], "i int, ha long")
+    got = hamming_join(rows, rows.select(F.col("i").alias("j"), F.col("ha").alias("hb")), 20)
+    n = int(re.search(r"hashpartitioning\(.*?, (\d+)\), REPARTITION_BY_NUM", got._jdf.queryExecution().toString())[1])
+    near = np.bitwise_count(x.view(np.uint64)[:, None] ^ x.view(np.uint64)[None, :]) <= 20
+    assert n > 50 and sorted((r["i"], r["j"]) for r in got.collect()) == [*zip(*map(lambda a: a.tolist(), np.nonzero(near)))]
+
+
 def test_fingerprint_resampling():
     """Weights add up, a flat image stays flat, and a step is where it was, for images above and below the size."""
     for n, m in ((100, 9), (9, 9), (5, 9), (1, 8), (640, 8)):
