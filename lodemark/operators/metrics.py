@@ -25,18 +25,27 @@ def unique_source_ratio(hits: DataFrame, ks: list[int]) -> DataFrame:
     return per.groupBy("k").agg(F.avg(F.col("n") / F.col("k")).alias("unique_source_ratio"))
 
 
-def caption_distance(hits: DataFrame, ks: list[int], compose: bool = False) -> DataFrame:
-    """By k: the mean over queries of the mean token Jaccard distance of all pairs of k captions; null at 1."""
-    hit = F.struct("rank", token_set(normalize_caption(F.col("caption"), compose)).alias("t"))
-    # at most as many hits as the largest k, so a query's pairs are made inside its row
-    lists = hits.where(F.col("rank") <= max(ks)).groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("h"))
+def caption_distance(hits: DataFrame, captions: DataFrame, ks: list[int], compose: bool = False) -> DataFrame:
+    """By k: the mean over queries of the mean token Jaccard distance of all pairs of k captions; null at 1.
+
+    hits has query_id, rank and kb_ordinal, captions kb_ordinal and caption; a hit that captions lacks has an empty one.
+    A caption's tokens are made once, not once for each hit, and queries with the same hits are compared once, as many as
+    they are: a caption that all copies of a text find is joined to one list of them.
+    """
+    tokens = captions.select("kb_ordinal", token_set(normalize_caption(F.col("caption"), compose)).alias("t"))
+    ids = F.array_sort(F.collect_list(F.struct("rank", "kb_ordinal"))).alias("ids")
+    lists = hits.where(F.col("rank") <= max(ks)).groupBy("query_id").agg(ids).groupBy("ids").agg(F.min("query_id").alias("query_id"), F.count("*").alias("n"))
+    found = lists.select("query_id", "n", F.inline("ids")).join(tokens, "kb_ordinal", "left")
+    # at most as many hits as the largest k, so a list's pairs are made inside its row
+    hit = F.struct("rank", F.coalesce("t", F.array().cast("array<string>")).alias("t"))
+    rows = found.groupBy("query_id", "n").agg(F.array_sort(F.collect_list(hit)).alias("h"))
     later = lambda x: F.transform(F.filter("h", lambda y: y["rank"] < x["rank"]), lambda y: F.struct(x["rank"].alias("rank"), jaccard_distance(x["t"], y["t"]).alias("d")))
-    pairs = lists.select(F.flatten(F.transform("h", later)).alias("p")).select("p", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    pairs = rows.select("n", F.flatten(F.transform("h", later)).alias("p")).select("n", "p", F.explode(F.array(*map(F.lit, ks))).alias("k"))
     near = F.transform(F.filter("p", lambda x: x["rank"] <= F.col("k")), lambda x: x["d"])
-    per = pairs.select("k", near.alias("d")).where(F.size("d") > 0).select("k", (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("d"))
-    found = per.groupBy("k").agg(F.avg("d").alias("mean_caption_distance"))
+    per = pairs.select("k", "n", near.alias("d")).where(F.size("d") > 0).select("k", "n", (F.aggregate("d", F.lit(0.0), lambda s, x: s + x) / F.size("d")).alias("d"))
+    mean = per.groupBy("k").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("mean_caption_distance"))
     every = hits.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, ks))).alias("k"))
-    return every.join(found, "k", "left")
+    return every.join(mean, "k", "left")
 
 
 def flagged_queries(hits: DataFrame, ks: list[int]) -> DataFrame:

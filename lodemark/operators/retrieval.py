@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -159,24 +159,37 @@ def _multiply(d: int, q_real, k_real, hits):
     return run
 
 
+def _apart(spark: SparkSession, n: int) -> Column:
+    """n ints, as an array, that a shuffle by hash over n partitions puts into one each; by themselves 0 to n - 1 would share some."""
+    tried, firsts = 16 * n, []
+    while len(firsts) < n:
+        tried *= 2
+        ids = spark.range(tried).select(F.col("id").cast("int").alias("i"))
+        firsts = [r["i"] for r in ids.groupBy(F.pmod(F.hash("i"), F.lit(n))).agg(F.min("i").alias("i")).collect()]
+    return F.split(F.lit(",".join(map(str, sorted(firsts)))), ",").cast("array<int>")
+
+
 def met(queries: DataFrame, kb: DataFrame, n: int, d: int, k: int, block_bytes: int, hits, groups: Column | None = None) -> DataFrame:
     """The k best hits: every block of queries meets every block of kb in a task of its own, a cell of a grid.
 
     A cell has about block_bytes of vectors and QUERY_ROWS queries at most, and there are CELLS cells if there are queries
     enough, so no task grows with the tables; only their number does. kb's rows are dealt over blocks by `groups` (a
     number of the group that stays together), else by id. Cells are dealt by number, as they hold few bytes for their
-    work and would be put together by their bytes. Of a query and cell k hits at most come out.
+    work and would be put together by their bytes, and their names are such that no two hash to one task. Of a query and
+    cell k hits at most come out.
     """
     key = queries.schema["query_id"].dataType.simpleString()
     asked = queries.count()
     down = max(1, -(-n * d * 8 // block_bytes))
     across = max(1, -(-asked // QUERY_ROWS), min(-(-asked // LEAST_ROWS), -(-CELLS // down)))
     places = lambda count: F.sequence(F.lit(0), F.lit(count - 1))
-    group = F.pmod(F.xxhash64("kb_ordinal"), F.lit(16 * down)) if groups is None else groups
+    names = _apart(kb.sparkSession, across * down)
+    cell = lambda i, j: F.get(names, (i * down + j).cast("int")).alias("cell")
+    group, block = (F.pmod(F.xxhash64("kb_ordinal"), F.lit(down)), F.col("g")) if groups is None else (groups, F.pmod(F.xxhash64("g"), F.lit(down)))
     left = _packed(queries.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(across))), "query_id", d, "q_ids")
     right = _packed(kb.withColumn("g", group), "kb_ordinal", d, "k_ids")
-    left = left.withColumn("_o", F.explode(places(down))).select((F.col("g") * down + F.col("_o")).alias("cell"), F.lit(1).alias("side"), "g", "q_ids", F.lit(None).cast("array<bigint>").alias("k_ids"), "data")
-    right = right.withColumn("_o", F.explode(places(across))).select((F.col("_o") * down + F.pmod(F.xxhash64("g"), F.lit(down)).cast("int")).alias("cell"), F.lit(0).alias("side"), "g", F.lit(None).cast(f"array<{key}>").alias("q_ids"), "k_ids", "data")
+    left = left.withColumn("_o", F.explode(places(down))).select(cell(F.col("g"), F.col("_o")), F.lit(1).alias("side"), "g", "q_ids", F.lit(None).cast("array<bigint>").alias("k_ids"), "data")
+    right = right.withColumn("_o", F.explode(places(across))).select(cell(F.col("_o"), block), F.lit(0).alias("side"), "g", F.lit(None).cast(f"array<{key}>").alias("q_ids"), "k_ids", "data")
     cells = left.union(right).repartition(across * down, "cell").sortWithinPartitions("cell", "side")
     found = cells.select("cell", "g", "q_ids", "k_ids", "data").mapInPandas(_multiply(d, _real(queries), _real(kb), hits), f"query_id {key}, kb_ordinal long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "kb_ordinal"))

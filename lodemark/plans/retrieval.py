@@ -16,10 +16,10 @@ from lodemark.sources import sinks
 from lodemark.sources.files import folder_bytes
 
 
-def summarize(flagged: DataFrame, queries: DataFrame, pairs: DataFrame, ks: list[int]) -> dict:
+def summarize(flagged: DataFrame, captions: DataFrame, queries: DataFrame, pairs: DataFrame, ks: list[int]) -> dict:
     """All metrics by k, as names and values."""
     out: dict = {"by_k": {k: {} for k in ks}, "sensitivity": {}}
-    for df in (metrics.similarity_summary(flagged, ks), metrics.unique_source_ratio(flagged, ks), metrics.caption_distance(flagged, ks, compose=True), metrics.flagged_queries(flagged, ks), metrics.contaminated_queries(flagged, queries, ks)):
+    for df in (metrics.similarity_summary(flagged, ks), metrics.unique_source_ratio(flagged, ks), metrics.caption_distance(flagged, captions, ks, compose=True), metrics.flagged_queries(flagged, ks), metrics.contaminated_queries(flagged, queries, ks)):
         for r in df.collect():
             out["by_k"][r["k"]] |= {n: v for n, v in r.asDict().items() if n != "k"}
     out["sensitivity"] = {r["k"]: {n: v for n, v in r.asDict().items() if n != "k"} for r in metrics.sensitivity(flagged, queries, pairs, ks).collect()}
@@ -50,7 +50,7 @@ def run_retrieval(spark: SparkSession, cfg: dict, query_vectors: DataFrame, capt
     results = materialize(queries, flagged, pairs)
     sinks.write_jsonl(results, f"{out}/results.jsonl")
     n = queries.count()
-    report = {"queries": n, "exact_search": {"total_s": took, "mean_ms": 1000 * took / n}, "spark": spark.version, "master": spark.sparkContext.master, **summarize(flagged, queries, pairs, r["ks"])}
+    report = {"queries": n, "exact_search": {"total_s": took, "mean_ms": 1000 * took / n}, "spark": spark.version, "master": spark.sparkContext.master, **summarize(flagged, captions, queries, pairs, r["ks"])}
     if r["ann"]:
         began = time.perf_counter()
         centre, placed = ann.build(vectors, r["cells"], seed=cfg["seed"])

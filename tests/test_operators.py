@@ -3,13 +3,14 @@ import json
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodemark import config
 from lodemark.functions.hashing import _lanczos, _resampled, dhash64, hamming_hex64, hash_split, unit_interval
 from lodemark.functions.text import class_of, jaccard_distance, normalize_caption, normalize_id, token_set, words
-from lodemark.operators import ann, leakage, ordering, retrieval
+from lodemark.operators import ann, leakage, metrics, ordering, retrieval
 from lodemark.operators.leakage import caption_overlap, gate, hamming_join, hard_matches, soft_matches
 from lodemark.operators.retrieval import caption_table, exact_topk, hits_with_flags, materialize, near_pairs, query_table
 from lodemark.schema import problems, to_manifest
@@ -104,6 +105,50 @@ def test_search_is_dealt_over_a_grid(spark, monkeypatch):
     assert all([got[q, r] for r in range(1, 6)] == np.argsort(-(u @ u[q]), kind="stable")[:5].tolist() for q in range(600))
 
 
+@pytest.mark.parametrize("size", [600, 90])
+def test_no_two_cells_meet_in_a_task(spark, monkeypatch, size):
+    """By the hash of its number, a cell of 52 came to a task with three others."""
+
+    def counted(*_):
+        def run(batches):
+            yield pd.DataFrame({"query_id": [len({c for pdf in batches for c in pdf["cell"]})], "kb_ordinal": [0], "similarity": [0.0]})
+
+        return run
+
+    monkeypatch.setattr(retrieval, "LEAST_ROWS", 50)
+    monkeypatch.setattr(retrieval, "_multiply", counted)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(600)], "query_id long, embedding array<double>")
+    tasks = [r["query_id"] for r in exact_topk(rows, rows.withColumnRenamed("query_id", "kb_ordinal"), 60, block_bytes=size * 16).collect()]
+    assert tasks == [1] * {600: 12, 90: 28}[size]
+
+
+def test_caption_distance(spark):
+    """Captions that are missing, null, empty, equal or there twice; queries with the same hits count as many as they are."""
+    draw = np.random.default_rng(4)
+    texts = [None, "", "--", "A b.", "a B", *(" ".join(f"w{i}" for i in draw.integers(0, 12, draw.integers(1, 9))) for _ in range(30))]
+    captions = [*enumerate(texts), (7, "b w1 w2")]
+    found = {q: draw.choice(38, int(draw.integers(1, 7)), replace=False).tolist() for q in range(40)}
+    found |= {q: found[q % 3] for q in range(40, 70)}
+    found[70] = found[1][::-1]
+    hits = spark.createDataFrame([(q, r, c, 0.5) for q, ids in found.items() for r, c in enumerate(ids, 1)], "query_id long, rank int, kb_ordinal long, similarity double").repartition(5)
+    kb = spark.createDataFrame(captions, "kb_ordinal long, caption string")
+    words_of = lambda c: [set(re.sub(r"[^a-z0-9]+", " ", (t or "").lower()).split()) for i, t in captions if i == c] or [set()]
+    want = {}
+    for k in (1, 2, 5):
+        means = []
+        for ids in found.values():
+            sets = [(r, w) for r, c in enumerate(ids[:k], 1) for w in words_of(c)]
+            d = [1 - len(u & v) / len(u | v) if u | v else 0.0 for r, u in sets for s, v in sets if r < s]
+            means += [sum(d) / len(d)] if d else []
+        want[k] = sum(means) / len(means) if means else None
+    rows = metrics.caption_distance(hits, kb, [1, 2, 5])
+    assert {r["k"]: r["mean_caption_distance"] for r in rows.collect()} == pytest.approx(want)
+    # no text is carried to a hit, and a pair's words are gone through once
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "array_union" not in plan
+    assert plan.index("inline") > plan.index("Join LeftOuter, (kb_ordinal") < plan.index("split(")
+
+
 def test_approximate_search_of_all_cells_is_exact(spark, monkeypatch):
     """Small batches, groups and cells in parts: no hit is lost among them."""
     monkeypatch.setattr(ann, "CELL_ROWS", 40)
